@@ -1,4 +1,4 @@
-from tidemark.functions.exact import as_double, exact
+from tidemark.functions.exact import as_double, exact, exact_sum, merged_sums, part_sums, sum_of, units
 from tidemark.functions.ranking import ntile_of, percent_rank_of
 from tidemark.functions.user import Words, aggregate_in_batches, first_digit, slope_per_group
 
@@ -7,8 +7,13 @@ __all__ = [
     "aggregate_in_batches",
     "as_double",
     "exact",
+    "exact_sum",
     "first_digit",
+    "merged_sums",
     "ntile_of",
+    "part_sums",
     "percent_rank_of",
     "slope_per_group",
+    "sum_of",
+    "units",
 ]

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,13 +67,14 @@ def slope_per_group(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
     """
     out = T.StructType([df.schema[key], T.StructField("slope", T.DoubleType())])
 
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        dx = group[x].to_numpy(dtype=float) - group[x].mean()
-        spread = float((dx * dx).sum())
-        slope = float((dx * group[y].to_numpy(dtype=float)).sum()) / spread if spread else None
-        return pd.DataFrame({key: [group[key].iloc[0]], "slope": [slope]})
+    def fit(group: pa.Table) -> pa.Table:
+        xs = group[x].to_numpy().astype(float)
+        dx = xs - xs.mean()
+        spread = float(dx @ dx)
+        slope = float(dx @ group[y].to_numpy()) / spread if spread else None
+        return pa.table({key: group[key].slice(0, 1), "slope": pa.array([slope], pa.float64())})
 
-    return df.groupBy(key).applyInPandas(fit, out)
+    return df.groupBy(key).applyInArrow(fit, out)
 
 
 @F.udtf(returnType="position bigint, word string")

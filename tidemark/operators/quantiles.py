@@ -20,7 +20,7 @@ def exact_quantiles(
     ``percentile`` keeps a map of all values of a group in one task. Here a sketch first
     gives a narrow slice of values around each quantile, ``MARGIN`` of the rows to either
     side, a hundred times the sketch's own error. Values below a slice are only counted. Those
-    inside are brought down to a count per value and ordered, which finds the exact ranks.
+    inside are brought down to a count per value and put in order, which finds the ranks.
     A group of under ``SMALL_GROUP`` rows is its own slice.
 
     ``limits`` go to ``OrderedGroups`` for slices that are long themselves.
@@ -53,27 +53,21 @@ def exact_quantiles(
         ).alias("_s"),
     ).select(*keys, "_s.*")
 
-    # a count per value, before rows meet their slices
+    # a count per value, then one more for all values below a slice, which sorts first
     counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    met = counts.join(slices, keys)
     slice_keys = [*keys, "_name"]
-    below = (
-        met.where(F.col("_v") < F.col("_low")).groupBy(*slice_keys).agg(F.sum("_c").alias("_below"))
-    )
-    inside = met.where(F.col("_v").between(F.col("_low"), F.col("_high")))
-    ranked = OrderedGroups(inside, slice_keys, ["_v"], **limits).running(_upto=("sum", F.col("_c"))).df()
-    floor, ceil = F.floor("_at"), F.ceil("_at")
-    placed = ranked.join(below, slice_keys, "left").withColumns(
-        {
-            "_first": F.coalesce("_below", F.lit(0)) + F.col("_upto") - F.col("_c"),
-            "_end": F.coalesce("_below", F.lit(0)) + F.col("_upto") - 1,
-        }
+    in_or_below = counts.join(slices, keys).where(F.col("_v") <= F.col("_high"))
+    folded = in_or_below.groupBy(*slice_keys, "_at", F.when(F.col("_v") >= F.col("_low"), F.col("_v")).alias("_v")).agg(
+        F.sum("_c").alias("_c")
     )
+    ranked = OrderedGroups(folded, slice_keys, ["_v"], **limits).running(_upto=("sum", F.col("_c"))).df()
 
     def value_at(position):
-        return F.max(F.when(position.between(F.col("_first"), F.col("_end")), F.col("_v")))
+        here = position.between(F.col("_upto") - F.col("_c"), F.col("_upto") - 1)
+        return F.max(F.when(here, F.col("_v")))
 
-    found = placed.groupBy(*slice_keys).agg(
+    floor, ceil = F.floor("_at"), F.ceil("_at")
+    found = ranked.groupBy(*slice_keys).agg(
         value_at(floor).alias("_lo"),
         value_at(ceil).alias("_hi"),
         F.max(F.col("_at") - floor).alias("_part"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import as_double, exact
+from tidemark.functions import as_double, exact_sum, units
 from tidemark.operators import OrderedGroups, consecutive_days, hop_windows, last_before, sessions
 from tidemark.plans.registry import Query
 from tidemark.sources import table
@@ -14,7 +14,7 @@ SQL_VALUE = "cast(round(sum(cast(value as decimal(12,2))), 2) as double)"
 
 
 def _sums() -> dict:
-    return {"events": F.count(F.lit(1)), "total": F.sum(exact("value"))}
+    return {"events": F.count(F.lit(1)), "total": exact_sum(units("value"))}
 
 
 def _events(spark: SparkSession, data_dir: str, *columns: str) -> DataFrame:

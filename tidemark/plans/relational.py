@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import as_double, exact, ntile_of, percent_rank_of
+from tidemark.functions import (
+    as_double,
+    exact,
+    exact_sum,
+    merged_sums,
+    ntile_of,
+    part_sums,
+    percent_rank_of,
+    sum_of,
+    units,
+)
 from tidemark.operators import (
     OrderedGroups,
     bag_difference,
@@ -27,14 +37,13 @@ def _count():
 
 
 def _discounted():
-    """Price less discount. The share is cast to keep the product within 18 digits."""
-    share = F.lit(1) - exact("l_discount", "decimal(3,2)")
-    return exact("l_extendedprice") * share.cast("decimal(3,2)")
+    """Price less discount, in units of the fourth place."""
+    return units("l_extendedprice") * (F.lit(100) - units("l_discount"))
 
 
 def _taxed():
-    share = F.lit(1) + exact("l_tax", "decimal(3,2)")
-    return _discounted() * share.cast("decimal(3,2)")
+    """That with tax, in units of the sixth place."""
+    return _discounted() * (F.lit(100) + units("l_tax"))
 
 
 SQL_PRICE = "cast(l_extendedprice as decimal(12,2))"
@@ -50,11 +59,11 @@ def pricing_summary(spark: SparkSession, data_dir: str) -> DataFrame:
     """Sums and averages by return flag and line status, shipped up to a date."""
     lines = table(spark, data_dir, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
     sums = lines.groupBy("l_returnflag", "l_linestatus").agg(
-        F.sum(exact("l_quantity")).alias("qty"),
-        F.sum(exact("l_extendedprice")).alias("price"),
-        F.sum(_discounted()).alias("discounted"),
-        F.sum(_taxed()).alias("taxed"),
-        F.sum(exact("l_discount", "decimal(3,2)")).alias("discount"),
+        exact_sum(units("l_quantity")).alias("qty"),
+        exact_sum(units("l_extendedprice")).alias("price"),
+        exact_sum(_discounted(), 4).alias("discounted"),
+        exact_sum(_taxed(), 6).alias("taxed"),
+        exact_sum(units("l_discount")).alias("discount"),
         _count().alias("count_order"),
     )
 
@@ -97,18 +106,18 @@ def _nation_revenue(spark: SparkSession, data_dir: str) -> DataFrame:
     Lines are summed per order and orders per customer before each join, so a very large
     order or customer is one row by the time it is joined.
     """
-    per_order = table(spark, data_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(_discounted()).alias("revenue"))
+    per_order = table(spark, data_dir, "lineitem").groupBy("l_orderkey").agg(*part_sums("revenue", _discounted()))
     orders = table(spark, data_dir, "orders").select("o_orderkey", "o_custkey")
     per_customer = (
         orders.join(per_order, orders.o_orderkey == per_order.l_orderkey)
         .groupBy("o_custkey")
-        .agg(F.sum("revenue").alias("revenue"))
+        .agg(*merged_sums("revenue"))
     )
     customers = table(spark, data_dir, "customer").select("c_custkey", "c_nationkey")
     per_nation = (
         customers.join(per_customer, customers.c_custkey == per_customer.o_custkey)
         .groupBy("c_nationkey")
-        .agg(F.sum("revenue").alias("revenue"))
+        .agg(*merged_sums("revenue"))
     )
     nations = table(spark, data_dir, "nation")
     regions = table(spark, data_dir, "region")
@@ -127,8 +136,8 @@ join region on n_regionkey = r_regionkey
 
 
 def revenue_by_region(spark: SparkSession, data_dir: str) -> DataFrame:
-    by_region = _nation_revenue(spark, data_dir).groupBy("r_name").agg(F.sum("revenue").alias("revenue"))
-    return by_region.select("r_name", as_double("revenue").alias("revenue"))
+    by_region = _nation_revenue(spark, data_dir).groupBy("r_name").agg(*merged_sums("revenue"))
+    return by_region.select("r_name", as_double(sum_of("revenue", 4)).alias("revenue"))
 
 
 REVENUE_BY_REGION_SQL = f"""
@@ -141,7 +150,7 @@ def revenue_rollup(spark: SparkSession, data_dir: str) -> DataFrame:
     out = grouped_subsets(
         _nation_revenue(spark, data_dir),
         ["r_name", "n_name"],
-        {"revenue": F.sum("revenue")},
+        {"revenue": F.sum(sum_of("revenue", 4))},
         lambda d: d.rollup("r_name", "n_name"),
     )
     return out.select("r_name", "n_name", "grouping_id", as_double("revenue").alias("revenue"))
@@ -159,7 +168,7 @@ def top_customers(spark: SparkSession, data_dir: str) -> DataFrame:
     top = (
         table(spark, data_dir, "orders")
         .groupBy("o_custkey")
-        .agg(F.sum(exact("o_totalprice")).alias("spend"), _count().alias("orders"))
+        .agg(exact_sum(units("o_totalprice")).alias("spend"), _count().alias("orders"))
         .orderBy(F.desc("spend"), "o_custkey")
         .limit(10)
     )
@@ -181,7 +190,7 @@ def flag_status_cube(spark: SparkSession, data_dir: str) -> DataFrame:
     out = grouped_subsets(
         table(spark, data_dir, "lineitem"),
         ["l_returnflag", "l_linestatus"],
-        {"lines": _count(), "quantity": F.sum(exact("l_quantity"))},
+        {"lines": _count(), "quantity": exact_sum(units("l_quantity"))},
         lambda d: d.cube("l_returnflag", "l_linestatus"),
     )
     return out.select("l_returnflag", "l_linestatus", "grouping_id", "lines", as_double("quantity").alias("quantity"))
@@ -440,22 +449,22 @@ select o_orderpriority,
 from orders group by o_orderpriority
 """
 
-BANDS = [("low", 0.0, 100_000.0), ("middle", 100_000.0, 300_000.0), ("high", 300_000.0, 1_000_000.0)]
+SQL_BANDS = "('low', 0, 100000), ('middle', 100000, 300000), ('high', 300000, 1000000)"
 
 
 def price_bands(spark: SparkSession, data_dir: str) -> DataFrame:
     """Orders counted in price bands."""
-    bands = spark.createDataFrame(BANDS, "band string, low double, high double")
+    bands = spark.sql(f"select band, double(low), double(high) from values {SQL_BANDS} as b(band, low, high)")
     priced = table(spark, data_dir, "orders").select("o_totalprice")
     met = band_join(priced, bands, "o_totalprice", "low", "high", 100_000.0)
-    out = met.groupBy("band").agg(_count().alias("orders"), F.sum(exact("o_totalprice")).alias("total"))
+    out = met.groupBy("band").agg(_count().alias("orders"), exact_sum(units("o_totalprice")).alias("total"))
     return out.select("band", "orders", as_double("total").alias("total"))
 
 
 PRICE_BANDS_SQL = f"""
 select band, count(*) as orders, {_money("sum(cast(o_totalprice as decimal(12,2)))")} as total
 from orders
-join (values {", ".join(str(b) for b in BANDS)}) b(band, low, high)
+join (values {SQL_BANDS}) b(band, low, high)
   on o_totalprice >= low and o_totalprice < high
 group by band
 """

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import as_double, exact
+from tidemark.functions import as_double, exact_sum, units
 from tidemark.plans.events import PURCHASES_SOON_AFTER_VIEW_SQL, SQL_SESSIONS, SQL_VALUE
 from tidemark.plans.registry import Query
 from tidemark.sources import stream, table
@@ -26,7 +26,7 @@ from tidemark.streaming import (
 
 
 def _sums() -> dict:
-    return {"events": F.count(F.lit(1)), "total": F.sum(exact("value"))}
+    return {"events": F.count(F.lit(1)), "total": exact_sum(units("value"))}
 
 
 def _events(spark: SparkSession, data_dir: str, *columns: str) -> DataFrame:
