@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,12 +53,13 @@ def exact_quantiles(
                 ]
             )
         ).alias("_s"),
-    ).select(*keys, "_s.*")
+    ).select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_s.*")
 
     # a count per value, then one more for all values below a slice, which sorts first
     counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
     slice_keys = [*keys, "_name"]
-    in_or_below = counts.join(slices, keys).where(F.col("_v") <= F.col("_high"))
+    same = reduce(lambda a, b: a & b, [counts[k].eqNullSafe(slices[f"_of_{k}"]) for k in keys])
+    in_or_below = counts.join(slices, same).where(F.col("_v") <= F.col("_high"))
     folded = in_or_below.groupBy(*slice_keys, "_at", F.when(F.col("_v") >= F.col("_low"), F.col("_v")).alias("_v")).agg(
         F.sum("_c").alias("_c")
     )
