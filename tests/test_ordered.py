@@ -101,10 +101,10 @@ def test_cuts_are_few_and_only_in_long_groups(rows):
     assert {c["k"] for c in cuts} == {"hot"}
     assert find_cuts(rows, ["k"], ["v", "id"], run_rows=1, sampled_per_run=1, max_runs=10) != []
     assert find_cuts(rows, ["k"], ["v", "id"]) == []
-    assert find_cuts(rows, ["k"], ["v", "id"], rows_at_most=600) == []
+    assert find_cuts(rows, ["k"], ["v", "id"], longest_group=600) == []
 
 
-FORCED = {"rows_at_most": None, "run_rows": 6, "sampled_per_run": 3}
+FORCED = {"longest_group": None, "run_rows": 6, "sampled_per_run": 3}
 
 
 @pytest.mark.parametrize(

@@ -28,8 +28,8 @@ def find_cuts(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    rows_at_most: int | None = None,
-    run_rows: int = 1_000_000,
+    longest_group: int | None = None,
+    run_rows: int = 2_000_000,
     max_runs: int = 4096,
     sampled_per_run: int = 64,
 ) -> list[Row]:
@@ -40,10 +40,11 @@ def find_cuts(
     has some ``max_runs * sampled_per_run`` rows and the cuts number about ``max_runs``,
     whatever the size of the table. Groups shorter than a run get no cut.
 
-    ``rows_at_most`` is a cheap upper bound on the rows, such as the count of the whole
-    table, which Parquet footers hold. It saves counting when the table is small.
+    ``longest_group`` is an upper bound on the rows of a group that is cheap to have, such
+    as the count of the whole table, which Parquet footers hold. When it shows that no
+    group is long, nothing is counted or sampled.
     """
-    if rows_at_most is not None and rows_at_most < 2 * run_rows:
+    if longest_group is not None and longest_group < 2 * run_rows:
         return []
     total = df.count()
     if total < 2 * run_rows:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -15,7 +16,12 @@ SMALL_GROUP = 10_000
 
 
 def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], **limits
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    probabilities: dict[str, float],
+    longest_group: int | None = None,
+    **limits,
 ) -> DataFrame:
     """One row per group and a column per probability, interpolated between two values.
 
@@ -25,7 +31,8 @@ def exact_quantiles(
     inside are brought down to a count per value and put in order, which finds the ranks.
     A group of under ``SMALL_GROUP`` rows is its own slice.
 
-    ``limits`` go to ``OrderedGroups`` for slices that are long themselves.
+    ``longest_group`` and ``limits`` are as in ``OrderedGroups``, which puts the slices in
+    order, for slices that are long themselves.
     """
     names = list(probabilities)
     rows = df.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
@@ -63,7 +70,11 @@ def exact_quantiles(
     folded = in_or_below.groupBy(*slice_keys, "_at", F.when(F.col("_v") >= F.col("_low"), F.col("_v")).alias("_v")).agg(
         F.sum("_c").alias("_c")
     )
-    ranked = OrderedGroups(folded, slice_keys, ["_v"], **limits).running(_upto=("sum", F.col("_c"))).df()
+    if longest_group is not None:
+        # a slice has at most its margins, the sketch's error and a small group's rows
+        longest_group = SMALL_GROUP + math.ceil(longest_group * (2 * MARGIN + 4 / ACCURACY))
+    ordered = OrderedGroups(folded, slice_keys, ["_v"], longest_group=longest_group, **limits)
+    ranked = ordered.running(_upto=("sum", F.col("_c"))).df()
 
     def value_at(position):
         here = position.between(F.col("_upto") - F.col("_c"), F.col("_upto") - 1)

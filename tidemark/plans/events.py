@@ -23,7 +23,7 @@ def _events(spark: SparkSession, data_dir: str, *columns: str) -> DataFrame:
 
 def _row_bound(spark: SparkSession, data_dir: str, limits: dict) -> dict:
     """The size of the whole table, from its footers, bounds any part of it."""
-    limits.setdefault("rows_at_most", table(spark, data_dir, "events").count())
+    limits.setdefault("longest_group", table(spark, data_dir, "events").count())
     return limits
 
 

@@ -239,7 +239,7 @@ def order_history(spark: SparkSession, data_dir: str, **limits) -> DataFrame:
     """Each order with the customer's running total, last-three average and previous order."""
     table_ = table(spark, data_dir, "orders")
     orders = table_.select("o_custkey", "o_orderdate", "o_orderkey", exact("o_totalprice").alias("price"))
-    limits.setdefault("rows_at_most", table_.count())
+    limits.setdefault("longest_group", table_.count())
     out = (
         OrderedGroups(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], **limits)
         .running(total=("sum", F.col("price")))
@@ -272,7 +272,7 @@ window w as (partition by o_custkey order by o_orderdate, o_orderkey)
 def part_price_ranks(spark: SparkSession, data_dir: str, **limits) -> DataFrame:
     """Rank, dense rank, quartile and percent rank of each part's price in its brand."""
     parts = table(spark, data_dir, "part")
-    limits.setdefault("rows_at_most", parts.count())
+    limits.setdefault("longest_group", parts.count())
     ranked = (
         OrderedGroups(
             parts.select("p_brand", "p_retailprice", "p_partkey"),
@@ -413,7 +413,7 @@ QUANTILES = {"median": 0.5, "p90": 0.9}
 def price_quantiles_by_priority(spark: SparkSession, data_dir: str, **limits) -> DataFrame:
     """Exact median and 90th percentile of the order price."""
     orders = table(spark, data_dir, "orders")
-    limits.setdefault("rows_at_most", orders.count())
+    limits.setdefault("longest_group", orders.count())
     found = exact_quantiles(orders, ["o_orderpriority"], "o_totalprice", QUANTILES, **limits)
     return found.select("o_orderpriority", *[F.round(n, 4).alias(n) for n in QUANTILES])
 

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 def build_session(app: str = "tidemark", cores: int | None = None, memory: str = "8g") -> SparkSession:
     """A local session for tests and benchmarks. On a cluster, pass your own session."""
@@ -28,9 +29,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 
     Times are compared in UTC. A stream's sessions are merged inside each map task before
     the shuffle, so that a busy user arrives as a few sessions and not as all its events.
+    State is kept in RocksDB, on disk, since users outgrow an executor's memory; what a
+    micro-batch adds to it is all that its checkpoint writes.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     return spark
 
 
