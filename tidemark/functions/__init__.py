@@ -1,4 +1,4 @@
-from tidemark.functions.exact import as_double, exact, exact_sum, merged_sums, part_sums, sum_of, units
+from tidemark.functions.exact import as_double, exact, exact_sum, merged_sums, named, part_sums, sum_of, units
 from tidemark.functions.ranking import ntile_of, percent_rank_of
 from tidemark.functions.user import Words, aggregate_in_batches, first_digit, slope_per_group
 
@@ -10,6 +10,7 @@ __all__ = [
     "exact_sum",
     "first_digit",
     "merged_sums",
+    "named",
     "ntile_of",
     "part_sums",
     "percent_rank_of",

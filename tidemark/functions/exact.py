@@ -17,21 +17,25 @@ def units(column: str, places: int = 2) -> Column:
     return F.rint(F.col(column) * F.lit(10.0**places)).cast("bigint")
 
 
-def part_sums(name: str, amount: Column) -> list[Column]:
+def part_sums(name: str, amount: Column) -> dict[str, Column]:
     """Sum of whole units, as the two columns ``{name}_high`` and ``{name}_low``.
 
     High and low bits are summed apart, as ``bigint``: neither sum overflows within 10^12
     rows, and both stay in generated code, where decimals of over 18 digits do not.
     """
-    return [
-        F.sum(F.shiftright(amount, LOW_BITS)).alias(f"{name}_high"),
-        F.sum(amount.bitwiseAND(F.lit((1 << LOW_BITS) - 1))).alias(f"{name}_low"),
-    ]
+    return {
+        f"{name}_high": F.sum(F.shiftright(amount, LOW_BITS)),
+        f"{name}_low": F.sum(amount.bitwiseAND(F.lit((1 << LOW_BITS) - 1))),
+    }
 
 
-def merged_sums(name: str) -> list[Column]:
-    """The sums of several ``part_sums``."""
-    return [F.sum(f"{name}_{part}").alias(f"{name}_{part}") for part in ("high", "low")]
+def merged_sums(name: str) -> dict[str, Column]:
+    """The sums of several ``part_sums``, under the same names."""
+    return {part: F.sum(part) for part in (f"{name}_high", f"{name}_low")}
+
+
+def named(columns: dict[str, Column]) -> list[Column]:
+    return [c.alias(n) for n, c in columns.items()]
 
 
 def whole_sum(high: Column, low: Column, places: int) -> Column:
@@ -47,7 +51,7 @@ def sum_of(name: str, places: int = 2) -> Column:
 
 def exact_sum(amount: Column, places: int = 2) -> Column:
     """Sum of whole units, as a decimal amount, in one step."""
-    return whole_sum(*part_sums("", amount), places)
+    return whole_sum(*part_sums("", amount).values(), places)
 
 
 def exact(column: str | Column, kind: str = "decimal(12,2)") -> Column:

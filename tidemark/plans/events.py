@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import as_double, exact_sum, units
+from tidemark.functions import as_double, named, part_sums, sum_of, units
 from tidemark.operators import OrderedGroups, consecutive_days, hop_windows, last_before, sessions
 from tidemark.plans.registry import Query
 from tidemark.sources import table
@@ -14,7 +14,11 @@ SQL_VALUE = "cast(round(sum(cast(value as decimal(12,2))), 2) as double)"
 
 
 def _sums() -> dict:
-    return {"events": F.count(F.lit(1)), "total": exact_sum(units("value"))}
+    return {"events": F.count(F.lit(1)), **part_sums("total", units("value"))}
+
+
+def _with_total(df: DataFrame) -> DataFrame:
+    return df.withColumn("total", as_double(sum_of("total"))).drop("total_high", "total_low")
 
 
 def _events(spark: SparkSession, data_dir: str, *columns: str) -> DataFrame:
@@ -69,12 +73,8 @@ where event_type = 'purchase' and exists (
 
 def hourly_event_counts(spark: SparkSession, data_dir: str) -> DataFrame:
     events = _events(spark, data_dir, "ts", "event_type", "value")
-    out = events.groupBy(F.window("ts", "1 hour").alias("hour"), "event_type").agg(
-        *[c.alias(n) for n, c in _sums().items()]
-    )
-    return out.select(
-        F.col("hour.start").alias("window_start"), "event_type", "events", as_double("total").alias("total")
-    )
+    hours = events.groupBy(F.window("ts", "1 hour").alias("hour"), "event_type").agg(*named(_sums()))
+    return _with_total(hours).select(F.col("hour.start").alias("window_start"), "event_type", "events", "total")
 
 
 HOURLY_EVENT_COUNTS_SQL = f"""
@@ -86,8 +86,7 @@ from events group by 1, 2
 def sliding_event_counts(spark: SparkSession, data_dir: str) -> DataFrame:
     """Two-hour windows, one starting each hour."""
     events = _events(spark, data_dir, "ts", "value")
-    out = hop_windows(events, [], "ts", 2, 1, _sums())
-    return out.withColumn("total", as_double("total"))
+    return _with_total(hop_windows(events, [], "ts", 2, 1, _sums()))
 
 
 SLIDING_EVENT_COUNTS_SQL = f"""
@@ -100,8 +99,8 @@ group by 1, 2
 
 def user_sessions(spark: SparkSession, data_dir: str) -> DataFrame:
     """Sessions per user that end 30 minutes after their last event."""
-    out = sessions(_events(spark, data_dir, "user_id", "ts", "value"), "user_id", "ts", 30, _sums())
-    return out.withColumn("total", as_double("total"))
+    events = _events(spark, data_dir, "user_id", "ts", "value")
+    return _with_total(sessions(events, "user_id", "ts", 30, _sums()))
 
 
 SQL_SESSIONS = f"""

@@ -10,6 +10,7 @@ from tidemark.functions import (
     exact,
     exact_sum,
     merged_sums,
+    named,
     ntile_of,
     part_sums,
     percent_rank_of,
@@ -106,18 +107,18 @@ def _nation_revenue(spark: SparkSession, data_dir: str) -> DataFrame:
     Lines are summed per order and orders per customer before each join, so a very large
     order or customer is one row by the time it is joined.
     """
-    per_order = table(spark, data_dir, "lineitem").groupBy("l_orderkey").agg(*part_sums("revenue", _discounted()))
+    per_order = table(spark, data_dir, "lineitem").groupBy("l_orderkey").agg(*named(part_sums("revenue", _discounted())))
     orders = table(spark, data_dir, "orders").select("o_orderkey", "o_custkey")
     per_customer = (
         orders.join(per_order, orders.o_orderkey == per_order.l_orderkey)
         .groupBy("o_custkey")
-        .agg(*merged_sums("revenue"))
+        .agg(*named(merged_sums("revenue")))
     )
     customers = table(spark, data_dir, "customer").select("c_custkey", "c_nationkey")
     per_nation = (
         customers.join(per_customer, customers.c_custkey == per_customer.o_custkey)
         .groupBy("c_nationkey")
-        .agg(*merged_sums("revenue"))
+        .agg(*named(merged_sums("revenue")))
     )
     nations = table(spark, data_dir, "nation")
     regions = table(spark, data_dir, "region")
@@ -136,7 +137,7 @@ join region on n_regionkey = r_regionkey
 
 
 def revenue_by_region(spark: SparkSession, data_dir: str) -> DataFrame:
-    by_region = _nation_revenue(spark, data_dir).groupBy("r_name").agg(*merged_sums("revenue"))
+    by_region = _nation_revenue(spark, data_dir).groupBy("r_name").agg(*named(merged_sums("revenue")))
     return by_region.select("r_name", as_double(sum_of("revenue", 4)).alias("revenue"))
 
 
@@ -150,10 +151,10 @@ def revenue_rollup(spark: SparkSession, data_dir: str) -> DataFrame:
     out = grouped_subsets(
         _nation_revenue(spark, data_dir),
         ["r_name", "n_name"],
-        {"revenue": F.sum(sum_of("revenue", 4))},
+        merged_sums("revenue"),
         lambda d: d.rollup("r_name", "n_name"),
     )
-    return out.select("r_name", "n_name", "grouping_id", as_double("revenue").alias("revenue"))
+    return out.select("r_name", "n_name", "grouping_id", as_double(sum_of("revenue", 4)).alias("revenue"))
 
 
 REVENUE_ROLLUP_SQL = f"""
@@ -190,10 +191,11 @@ def flag_status_cube(spark: SparkSession, data_dir: str) -> DataFrame:
     out = grouped_subsets(
         table(spark, data_dir, "lineitem"),
         ["l_returnflag", "l_linestatus"],
-        {"lines": _count(), "quantity": exact_sum(units("l_quantity"))},
+        {"lines": _count(), **part_sums("quantity", units("l_quantity"))},
         lambda d: d.cube("l_returnflag", "l_linestatus"),
     )
-    return out.select("l_returnflag", "l_linestatus", "grouping_id", "lines", as_double("quantity").alias("quantity"))
+    quantity = as_double(sum_of("quantity")).alias("quantity")
+    return out.select("l_returnflag", "l_linestatus", "grouping_id", "lines", quantity)
 
 
 FLAG_STATUS_CUBE_SQL = f"""
