@@ -183,11 +183,20 @@ def test_exact_sum_takes_negative_and_large_amounts(spark):
 
 def test_written_partitions_are_skipped_and_hot_ones_split(spark):
     path = shared_dir(spark, "partitions")
-    df = spark.range(3000).withColumn("y", F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 7))
-    write_partitioned(df, path, "y")
-    back = read_partitions(spark, path, F.col("y") == 1)
-    assert back.count() == df.where("y = 1").count()
+    ids = spark.range(0, 60_000, numPartitions=6)
+    df = ids.withColumn("y", F.when(F.col("id") % 3 == 0, 100).otherwise(F.col("id") % 97))
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "20KB")
+    try:
+        write_partitioned(df, path, "y")
+    finally:
+        spark.conf.unset(size)
+    back = read_partitions(spark, path, F.col("y") == 100)
+    assert back.count() == df.where("y = 100").count()
     assert "PartitionFilters: [isnotnull(y" in back._jdf.queryExecution().executedPlan().toString()
+    files = spark.read.parquet(path).select("y", F.input_file_name().alias("file")).groupBy("y")
+    per_value = {r.y: r.n for r in files.agg(F.countDistinct("file").alias("n")).collect()}
+    assert per_value[100] > 1
 
 
 def test_first_digit(spark):
