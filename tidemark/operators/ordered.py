@@ -75,15 +75,21 @@ class OrderedGroups:
         cuts = find_cuts(df, self.keys, self.order, **limits)
         self.cut = bool(cuts)
         self._rows = self._assign_runs(df, cuts) if cuts else df
+        # the rows before any step, for what runs pass on that no step has a part in
+        self._base = self._rows
 
     def df(self) -> DataFrame:
         return self._rows.drop("_cut", "_run") if self.cut else self._rows
 
     def _with(self, rows: DataFrame) -> OrderedGroups:
         new = object.__new__(OrderedGroups)
-        new.keys, new.order, new.cut, new._rows = self.keys, self.order, self.cut, rows
+        new.keys, new.order, new.cut = self.keys, self.order, self.cut
+        new._rows, new._base = rows, self._base
         return new
 
+    def _having(self, *names: str) -> DataFrame:
+        return self._base if {*names} <= {*self._base.columns} else self._rows
+
     def _assign_runs(self, df: DataFrame, cuts: list[Row]) -> DataFrame:
         """Add ``_run``, the number of cuts at or before a row, and ``_cut``, whether any exist.
 
@@ -199,18 +205,26 @@ class OrderedGroups:
         rows = self._rows.withColumns({a: F.lag(c, i).over(w) for a, c, i in lags})
         if not self.cut:
             return self._with(rows)
-        rows = rows.withColumns(
-            {"_nth": F.row_number().over(w), "_last": F.lead(F.lit(1), n).over(w).isNull()}
+        # a filter on row_number keeps n rows of a run in each map task, before the shuffle
+        others = sorted({*names} - {*self.order})
+        wanted = self._long(self._having(*names)).select(*self._group(), *self.order, *others)
+        backwards = Window.partitionBy(*self._group()).orderBy(*[F.desc(o) for o in self.order])
+        firsts = wanted.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= n)
+        lasts = wanted.withColumn("_back", F.row_number().over(backwards)).where(F.col("_back") <= n)
+        ends = (
+            firsts.unionByName(lasts.drop("_back"), allowMissingColumns=True)
+            .groupBy(*self._group(), *self.order)
+            .agg(F.max("_nth").alias("_nth"), *[F.any_value(c).alias(c) for c in others])
         )
-        ends = self._long(rows).where((F.col("_nth") <= n) | F.col("_last"))
         in_group = Window.partitionBy(*self.keys).orderBy(*self.order)
         seen = ends.select(
             *self.keys, "_run", "_nth", *[F.lag(c, i).over(in_group).alias(f"_true_{a}") for a, c, i in lags]
         ).where(F.col("_nth") <= n)
+        rows = rows.withColumn("_nth", F.row_number().over(w))
         rows = self._join_per_run(rows, seen, ("_run", "_nth"))
         first = F.col("_cut") & (F.col("_nth") <= n)
         rows = rows.withColumns({a: F.when(first, F.col(f"_true_{a}")).otherwise(F.col(a)) for a, _, _ in lags})
-        return self._with(rows.drop("_nth", "_last", *[f"_true_{a}" for a, _, _ in lags]))
+        return self._with(rows.drop("_nth", *[f"_true_{a}" for a, _, _ in lags]))
 
     def ranked(self) -> OrderedGroups:
         """Add ``row_number``, ``rank``, ``dense_rank`` and ``group_rows``, all ``bigint``.
@@ -231,16 +245,18 @@ class OrderedGroups:
         )
         if not self.cut:
             return self._with(rows)
+        by_value = self._long(self._having(value)).groupBy(*self.keys, "_run", value).agg(F.count(F.lit(1)).alias("_c"))
+        at = F.struct(value)
         per_run = (
-            self._long(rows)
-            .groupBy(*self.keys, "_run")
+            by_value.groupBy(*self.keys, "_run")
             .agg(
-                F.count(F.lit(1)).alias("_n"),
-                F.max("dense_rank").alias("_values"),
-                F.max("rank").alias("_last_rank"),
-                F.min(F.struct(value)).alias("_first"),
-                F.max(F.struct(value)).alias("_end"),
+                F.sum("_c").alias("_n"),
+                F.count(F.lit(1)).alias("_values"),
+                F.min(at).alias("_first"),
+                F.max(at).alias("_end"),
+                F.max_by("_c", at).alias("_last_tie"),
             )
+            .withColumn("_last_rank", F.col("_n") - F.col("_last_tie") + 1)
         )
         w = self._across_runs()
         before = w.rowsBetween(Window.unboundedPreceding, -1)
