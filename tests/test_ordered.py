@@ -21,12 +21,12 @@ LIMITS = [
 
 @pytest.fixture(scope="module")
 def rows(spark):
-    """A third of the rows under one key, values with long ties, null keys and null values."""
+    """A third of the rows under one key, long ties, and nulls in keys, order and values."""
     pick = random.Random(5)
     data = []
     for i in range(600):
         key = "hot" if i % 3 == 0 else pick.choice(["a", "b", None] + [f"k{n}" for n in range(40)])
-        value = 7 if pick.random() < 0.4 else pick.randint(0, 20)
+        value = pick.choice([7, 7, 7, None, *range(0, 20, 3)])
         data.append((key, value, i, None if pick.random() < 0.2 else pick.randint(-50, 50)))
     pick.shuffle(data)
     return spark.createDataFrame(data, "k string, v int, id int, x int").repartition(5, "id").cache()

@@ -93,46 +93,35 @@ class OrderedGroups:
     def _assign_runs(self, df: DataFrame, cuts: list[Row]) -> DataFrame:
         """Add ``_run``, the number of cuts at or before a row, and ``_cut``, whether any exist.
 
-        The cuts of a group are held in blocks of about the square root of their number,
-        so that a row is compared with the blocks' first cuts and then with one block.
+        The number is found by halving: each step adds a power of two if the cut that far
+        on is still at or before the row. The steps are plain columns, in generated code.
         """
         by_group = defaultdict(list)
         for cut in cuts:
             by_group[tuple(cut[k] for k in self.keys)].append(tuple(cut[o] for o in self.order))
-        held = []
-        for group, positions in by_group.items():
-            positions.sort()
-            size = max(1, math.isqrt(len(positions)))
-            blocks = [positions[i : i + size] for i in range(0, len(positions), size)]
-            held.append((*group, size, [b[0] for b in blocks], blocks))
         position = T.StructType([T.StructField(o, df.schema[o].dataType) for o in self.order])
         schema = T.StructType(
             [T.StructField(f"_cut_{k}", df.schema[k].dataType) for k in self.keys]
-            + [
-                T.StructField("_size", T.IntegerType()),
-                T.StructField("_firsts", T.ArrayType(position)),
-                T.StructField("_blocks", T.ArrayType(T.ArrayType(position))),
-            ]
+            + [T.StructField("_cuts", T.ArrayType(position))]
         )
-        # about max_runs positions in all, whatever the size of the table
-        lookup = F.broadcast(df.sparkSession.createDataFrame(held, schema))
 
-        def at_or_before(array: Column) -> Column:
-            here = F.struct(*[F.col(o) for o in self.order])
-            return F.size(F.filter(array, lambda c: c <= here))
+        def nulls_first(position: tuple) -> list:
+            return [(value is not None, value) for value in position]
 
-        block = at_or_before(F.col("_firsts"))
-        within = at_or_before(F.element_at("_blocks", F.col("_block")))
-        run = F.when(F.coalesce("_block", F.lit(0)) == 0, 0).otherwise(
-            (F.col("_block") - 1) * F.col("_size") + within
-        )
-        return (
+        held = [(*group, sorted(positions, key=nulls_first)) for group, positions in by_group.items()]
+        # about max_runs positions in all, whatever the size of the table
+        lookup = F.broadcast(df.sparkSession.createDataFrame(held, schema))
+        rows = (
             df.join(lookup, self._same_keys(df, lookup, "_cut_"), "left")
-            .withColumn("_cut", F.col("_size").isNotNull())
-            .withColumn("_block", F.when(F.col("_cut"), block))
-            .withColumn("_run", run)
-            .drop("_size", "_firsts", "_blocks", "_block", *[f"_cut_{k}" for k in self.keys])
+            .withColumn("_cut", F.col("_cuts").isNotNull())
+            .withColumn("_run", F.lit(0))
         )
+        here = F.struct(*[F.col(o) for o in self.order])
+        longest = max(len(positions) for positions in by_group.values())
+        for power in reversed(range(longest.bit_length())):
+            on = F.col("_run") + F.lit(1 << power)
+            rows = rows.withColumn("_run", F.when(F.get("_cuts", on - 1) <= here, on).otherwise(F.col("_run")))
+        return rows.drop("_cuts", *[f"_cut_{k}" for k in self.keys])
 
     def _same_keys(self, left: DataFrame, right: DataFrame, prefix: str) -> Column:
         return reduce(
