@@ -67,11 +67,16 @@ def slope_per_group(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
     """
     out = T.StructType([df.schema[key], T.StructField("slope", T.DoubleType())])
 
+    def wide(values: np.ndarray) -> np.ndarray:
+        return values.astype(np.int64 if values.dtype.kind in "iu" else float)
+
     def fit(group: pa.Table) -> pa.Table:
-        xs = group[x].to_numpy().astype(float)
-        dx = xs - xs.mean()
-        spread = float(dx @ dx)
-        slope = float(dx @ group[y].to_numpy()) / spread if spread else None
+        xs, ys = (wide(group[c].to_numpy()) for c in (x, y))
+        n, xs = len(xs), xs - xs[0]
+        # whole numbers stay whole, and of any size, so their order makes no difference
+        x_sum, y_sum, xx, xy = (total.item() for total in (xs.sum(), ys.sum(), xs @ xs, xs @ ys))
+        spread = n * xx - x_sum * x_sum
+        slope = (n * xy - x_sum * y_sum) / spread if spread else None
         return pa.table({key: group[key].slice(0, 1), "slope": pa.array([slope], pa.float64())})
 
     return df.groupBy(key).applyInArrow(fit, out)
