@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import struct
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -87,15 +88,11 @@ class Vocabulary:
         """Ids of a pre-token that is no token: its bytes are a linked list, and a heap gives
         the pair of lowest rank, the leftmost first."""
         n, pairs = len(raw), self.pairs
-        ids = [self.bytes[b] for b in raw]
+        ids = list(map(self.bytes.__getitem__, raw))
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        waiting = [-1] * n  # the rank at which each part would merge with the next one
-        heap = []
-        for i in range(n - 1):
-            rank = pairs.get(ids[i] << 32 | ids[i + 1])
-            if rank is not None:
-                waiting[i] = rank
-                heap.append(rank * n + i)
+        waiting = [pairs.get(a << 32 | b, -1) for a, b in zip(ids, ids[1:], strict=False)]  # the rank of each part's merge with the next
+        waiting.append(-1)
+        heap = [rank * n + i for i, rank in enumerate(waiting) if rank >= 0]
         heapify(heap)
         while heap:
             rank, i = divmod(heappop(heap), n)
@@ -106,15 +103,13 @@ class Vocabulary:
             ids[i], waiting[i], waiting[j] = rank, -1, -1
             if k < n:
                 before[k] = i
-                new = pairs.get(rank << 32 | ids[k])
-                if new is not None:
-                    waiting[i] = new
+                new = waiting[i] = pairs.get(rank << 32 | ids[k], -1)
+                if new >= 0:
                     heappush(heap, new * n + i)
             p = before[i]
             if p >= 0:
-                new = pairs.get(ids[p] << 32 | rank)
-                waiting[p] = -1 if new is None else new
-                if new is not None:
+                new = waiting[p] = pairs.get(ids[p] << 32 | rank, -1)
+                if new >= 0:
                     heappush(heap, new * n + p)
         out, i = [], 0
         while i < n:
@@ -127,6 +122,21 @@ class Vocabulary:
         return [self.ids[slot]] if slot >= 0 else self.merged(raw)
 
 
+class Pretokens(dict):
+    """The packed ids of pre-tokens, each worked out once; emptied when it has ``most`` entries."""
+
+    def __init__(self, vocab: Vocabulary, most: int = 450_000):
+        super().__init__()
+        self.vocab, self.most = vocab, most
+
+    def __missing__(self, match: str) -> bytes:
+        if len(self) > self.most:
+            self.clear()
+        ids = self.vocab.pretoken(match.encode())
+        packed_ids = self[match] = struct.pack(f"<{len(ids)}i", *ids)
+        return packed_ids
+
+
 def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -150,15 +160,10 @@ def encode(
     schema = pa.schema([("doc_id", pa.int64()), ("ids", ids_type)])
 
     def make():
-        vocab, cut = pickle.loads(shared.value), regex.compile(pattern)
-
-        def encoded(text: str) -> bytes:
-            ids: list[int] = []
-            for match in cut.findall(text):
-                ids += vocab.pretoken(match.encode())
-            return np.array(ids, "<i4").tobytes()
-
-        chunks = Chunks(encoded)
+        vocab, find = pickle.loads(shared.value), regex.compile(pattern).findall
+        pretokens = Pretokens(vocab)
+        # chunks that differ in signs alone share pre-tokens
+        chunks = Chunks(lambda text: b"".join(map(pretokens.__getitem__, find(text))))
 
         def work(batch: pa.RecordBatch) -> dict:
             parts = [chunks.ids(t) for t in batch["text"].to_pylist()]
