@@ -226,3 +226,25 @@ def test_slope(spark):
     got = dict(tuple(r) for r in slope_per_group(df, "k", "x", "y").collect())
     assert got["a"] == pytest.approx(statistics.linear_regression([1, 2, 4], [2, 4, 9]).slope)
     assert got["b"] is None
+
+
+def test_large_keys_beside_a_null_stay_apart(spark):
+    df = spark.createDataFrame([(2**53, 1.0), (2**53 + 1, 2.0), (None, 4.0), (2**53 + 1, 8.0)], "k bigint, v double")
+    got = aggregate_in_batches(df, ["k"], lambda part: {"total": part["v"].sum()}, {"total": "sum"})
+    assert {tuple(r) for r in got.collect()} == {(2**53, 1.0), (2**53 + 1, 10.0), (None, 4.0)}
+
+
+def test_open_bands(spark):
+    values = spark.createDataFrame([(-5.0,), (0.0,), (9.9,), (10.0,), (35.0,), (1e12,), (None,)], "v double")
+    bands = spark.createDataFrame([("low", None, 10.0), ("middle", 10.0, 30.0), ("high", 30.0, None), ("all", None, None)], "band string, low double, high double")
+    got = {}
+    for r in band_join(values, bands, "v", "low", "high", 10.0).collect():
+        got.setdefault(r.band, []).append(r.v)
+    assert {b: sorted(v) for b, v in got.items()} == {
+        "low": [-5.0, 0.0, 9.9], "middle": [10.0], "high": [35.0, 1e12], "all": [-5.0, 0.0, 9.9, 10.0, 35.0, 1e12],
+    }
+
+
+def test_windows_that_are_no_multiple_of_their_hop_are_an_error(spark):
+    with pytest.raises(ValueError, match="multiple"):
+        hop_windows(spark.range(0), [], "id", 3, 2, {})

@@ -3,15 +3,13 @@
 from collections import Counter
 from datetime import datetime, timedelta
 
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.session import shared_dir
-from tidemark.sources import stream
+from tidemark.sources import closable_stream, stream
 from tidemark.streaming import (
     first_within,
-    hot_keys,
     matched_within,
     run_to_table,
     running_counts,
@@ -19,7 +17,6 @@ from tidemark.streaming import (
     window_sums,
     with_lookup,
 )
-from tidemark.streaming.dedup import _thin
 
 START = datetime(2024, 1, 1)
 SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string"
@@ -104,46 +101,75 @@ def test_restart_repeats_nothing(spark, feed):
     assert run().count() == 5
 
 
-def test_repeats_are_dropped_until_the_watermark_passes(spark, feed):
-    feed.add(*[(i / 10, 1, "a") for i in range(40)], (1, 1, "b"), (2, 2, "a"))
-    feed.add((6, 1, "a"), (30, 3, "a")).add((30, 4, "a")).add((31, 1, "a"), (31, 2, "b"))
-    out = run_to_table(spark, first_within(feed.stream(), ["user_id", "event_type"], "ts", "10 minutes"), "d")
-    got = Counter((r.user_id, r.event_type) for r in out.collect())
-    assert got == {(1, "a"): 2, (1, "b"): 1, (2, "a"): 1, (3, "a"): 1, (4, "a"): 1, (2, "b"): 1}
+def firsts(spark, feed, closed=True):
+    events, close = closable_stream(spark, feed.dir, "events", ["event_id", "ts", "user_id", "event_type"], max_files=1)
+    out = first_within(events, ["user_id", "event_type"], "ts", "event_id", "10 minutes")
+    got = run_to_table(spark, out, "d", close=close if closed else None)
+    return sorted((r.user_id, r.event_type, r.event_id) for r in got.collect())
 
 
-def test_thinning_keeps_firsts_and_the_latest_row():
-    batch = pa.record_batch({"k": ["x", "y", "x", "x", None, None], "t": [5, 1, 9, 2, 3, None]})
-    (kept,) = _thin(["k"], "t")([batch])
-    assert kept.to_pydict() == {"k": ["x", "y", "x", None], "t": [5, 1, 9, 3]}
-    assert list(_thin(["k"], "t")([batch.slice(0, 0)])) == []
+def test_firsts_of_runs(spark, feed):
+    feed.add(*[(i, 1, "a") for i in range(0, 40, 5)], (1, 1, "b"), (2, 2, "a"))
+    feed.add((50, 1, "a"), (45, 2, "a"), (45, 2, "a")).add((60, 1, "a"), (71, 1, "a"))
+    # 50 is 15 after 35; 60 is 10 after 50 and so goes with it; 71 is 11 after 60
+    assert firsts(spark, feed) == [(1, "a", 0), (1, "a", 10), (1, "a", 14), (1, "b", 8), (2, "a", 9), (2, "a", 11)]
 
 
-@pytest.mark.parametrize("hot", [None, [1]])
-def test_matched_within(spark, feed, hot):
-    feed.add((0, 1, "view"), (10, 1, "buy"), (10, 2, "buy"), (11, 2, "view"))
-    feed.add((121, 1, "buy"), (120, 1, "buy"), (30, 3, "view"), (30, 3, "buy"))
+def test_an_on_time_row_survives_a_late_one_of_its_key(spark, feed):
+    feed.add((0, 1, "a"), (200, 9, "x")).add((201, 9, "x")).add((5, 2, "a"), (201, 2, "a"), (202, 9, "x")).add((203, 9, "x"))
+    assert (2, "a", 4) in firsts(spark, feed)
+
+
+@pytest.mark.parametrize("files", [1, 3, 10])
+def test_firsts_do_not_depend_on_batches(spark, feed, files):
+    rows = [(m, m % 3, "a") for m in range(0, 120, 4)]
+    for k in range(files):
+        feed.add(*rows[k * 30 // files : (k + 1) * 30 // files])
+    # a user's events are twelve minutes apart, so each is a first
+    assert firsts(spark, feed) == sorted((user, "a", i) for i, (_, user, _) in enumerate(rows))
+
+
+def test_closing_brings_out_what_is_open(spark, feed):
+    feed.add((5, 1, "a"), (50, 1, "a")).add((130, 1, "a"))
+    events, close = closable_stream(spark, feed.dir, "events", ["ts", "user_id"], max_files=1)
+    out = run_to_table(spark, window_sums(events, [], "ts", "1 hour", counted()), "w", close=close)
+    assert in_utc(out.select("window_start", "n"), "window_start") == [("2024-01-01 00:00:00", 2), ("2024-01-01 02:00:00", 1)]
+
+
+def test_large_keys_beside_a_null_stay_apart(spark, feed):
+    feed.add((0, 2**53, "a"), (0, 2**53 + 1, "a"), (0, None, "a"), (1, 2**53 + 1, "a"))
+    out = run_to_table(spark, running_counts(feed.stream(), "user_id"), "c")
+    assert {tuple(r) for r in out.collect()} == {(2**53, 1), (2**53 + 1, 2), (None, 1)}
+
+
+def matches(feed, **how):
     events = feed.stream().select("event_id", "ts", "user_id", "event_type")
     again = feed.stream().select("event_id", "ts", "user_id", "event_type")
-    out = matched_within(
-        events.where("event_type = 'buy'"), again.where("event_type = 'view'"),
-        "user_id", "ts", "event_id", "2 hours", hot=hot, salts=4, delay="1 day",
+    return matched_within(
+        events.where("event_type = 'buy'"), again.where("event_type = 'view'"), "user_id", "ts", "event_id", "2 hours", **how
     )
-    assert sorted(r.event_id for r in run_to_table(spark, out, "m").collect()) == [1, 5, 7]
 
 
-@pytest.mark.parametrize("hot", [None, [1, 9]])
-def test_with_lookup(spark, feed, hot):
+def test_matched_within(spark, feed):
+    feed.add((0, 1, "view"), (10, 1, "buy"), (10, 2, "buy"), (11, 2, "view"))
+    feed.add((121, 1, "buy"), (120, 1, "buy"), (30, 3, "view"), (30, 3, "buy"))
+    got = run_to_table(spark, matches(feed, delay="1 day"), "m")
+    assert sorted(r.event_id for r in got.collect()) == [1, 5, 7]
+
+
+def test_matches_after_a_restart_with_a_busier_user(spark, feed):
+    path, checkpoint = shared_dir(spark, "out"), shared_dir(spark, "checkpoint")
+    feed.add((0, 1, "view"), *[(1, 9, "x") for _ in range(20)])
+    assert run_to_table(spark, matches(feed, delay="1 day"), "m", path, checkpoint).count() == 0
+    feed.add(*[(10 + i, 1, "buy") for i in range(8)])
+    assert run_to_table(spark, matches(feed, delay="1 day"), "m", path, checkpoint).count() == 8
+
+
+def test_with_lookup(spark, feed):
     feed.add(*[(i, 1, "a") for i in range(30)], (0, 2, "a"), (0, 7, "a"), (0, 9, "a"))
     names = spark.createDataFrame([(1, "one"), (2, "two"), (3, "three")], "k bigint, name string")
-    out = run_to_table(spark, with_lookup(feed.stream(), names, "user_id", "k", "event_id", hot, 4), "l")
+    out = run_to_table(spark, with_lookup(feed.stream(), names, "user_id", "k"), "l")
     assert Counter((r.user_id, r["name"]) for r in out.collect()) == {
         (1, "one"): 30, (2, "two"): 1, (7, None): 1, (9, None): 1,
     }
     assert out.columns == ["event_id", "ts", "user_id", "event_type", "name"]
-
-
-def test_hot_keys(spark):
-    df = spark.range(900).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"))
-    assert hot_keys(df, "k", share=0.1, min_rows=1) == [-1]
-    assert hot_keys(df, "k") == []

@@ -1,9 +1,8 @@
 from tidemark.functions.exact import as_double, exact, exact_sum, merged_sums, named, part_sums, sum_of, units
 from tidemark.functions.ranking import ntile_of, percent_rank_of
-from tidemark.functions.user import Words, aggregate_in_batches, first_digit, slope_per_group
+from tidemark.functions.user import aggregate_in_batches, first_digit, slope_per_group
 
 __all__ = [
-    "Words",
     "aggregate_in_batches",
     "as_double",
     "exact",

@@ -1,6 +1,6 @@
-"""Python functions inside Spark jobs: per column, per batch, per group and per row.
+"""Python functions inside Spark jobs: per column, per batch and per group.
 
-All but the last get Arrow batches. None needs a group to fit in memory unless the group's
+All get Arrow batches. None needs a group to fit in memory unless the group's
 size is bounded by something other than the data.
 """
 
@@ -41,22 +41,23 @@ def aggregate_in_batches(
 
     ``partial`` turns some rows of one group into numbers, and ``merge`` says how the
     numbers of two parts of a group combine: ``"sum"``, ``"min"`` or ``"max"``. Python sees
-    one Arrow batch at a time, and Spark merges what comes out, before the shuffle and
+    one Arrow batch at a time (for ``partial``, as pandas), and Spark merges what comes out, before the shuffle and
     after it. A grouped ``pandas_udf`` would be given each whole group at once.
     """
     schema = T.StructType(
         [df.schema[k] for k in keys] + [T.StructField(n, T.DoubleType()) for n in merge]
     )
 
-    def per_batch(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for page in pages:
-            rows = [
-                {**dict(zip(keys, group, strict=True)), **partial(part)}
-                for group, part in page.groupby(keys, dropna=False)
-            ]
-            yield pd.DataFrame(rows, columns=schema.names)
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # keys stay in Arrow: pandas would turn whole numbers beside a null into floats
+            rows = pa.table({**{k: batch[k] for k in keys}, "_row": pa.array(range(batch.num_rows))})
+            groups = rows.group_by(keys).aggregate([("_row", "list")])
+            found = [partial(batch.take(at.values).to_pandas()) for at in groups["_row_list"].combine_chunks()]
+            sums = {n: pa.array([float(f[n]) for f in found], pa.float64()) for n in merge}
+            yield from pa.table({**{k: groups[k] for k in keys}, **sums}).to_batches()
 
-    parts = df.mapInPandas(per_batch, schema)
+    parts = df.mapInArrow(per_batch, schema)
     return parts.groupBy(*keys).agg(*[MERGE[how](n).alias(n) for n, how in merge.items()])
 
 
@@ -80,12 +81,3 @@ def slope_per_group(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
         return pa.table({key: group[key].slice(0, 1), "slope": pa.array([slope], pa.float64())})
 
     return df.groupBy(key).applyInArrow(fit, out)
-
-
-@F.udtf(returnType="position bigint, word string")
-class Words:
-    """A table function: the words of a text with their positions from 1."""
-
-    def eval(self, text: str):
-        for position, word in enumerate((text or "").lower().split(), start=1):
-            yield position, word

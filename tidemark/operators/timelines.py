@@ -73,6 +73,8 @@ def hop_windows(
     Spark copies each event into every window it falls in. Here events are summed per hop
     and only the sums are copied. The length is to be a multiple of the hop.
     """
+    if hop_hours <= 0 or length_hours % hop_hours:
+        raise ValueError("the length is to be a multiple of the hop")
     hops = df.groupBy(*keys, F.window(time, f"{hop_hours} hours").alias("_hop")).agg(
         *[c.alias(n) for n, c in sums.items()]
     )

@@ -9,6 +9,7 @@ from tidemark.functions import as_double, named, part_sums, sum_of, units
 from tidemark.operators import OrderedGroups, consecutive_days, hop_windows, last_before, sessions
 from tidemark.plans.registry import Query
 from tidemark.sources import table
+from tidemark.streaming.dedup import first_within
 
 SQL_VALUE = "cast(round(sum(cast(value as decimal(12,2))), 2) as double)"
 
@@ -27,7 +28,8 @@ def _events(spark: SparkSession, data_dir: str, *columns: str) -> DataFrame:
 
 def _row_bound(spark: SparkSession, data_dir: str, limits: dict) -> dict:
     """The size of the whole table, from its footers, bounds any part of it."""
-    limits.setdefault("longest_group", table(spark, data_dir, "events").count())
+    if "longest_group" not in limits:
+        limits["longest_group"] = table(spark, data_dir, "events").count()
     return limits
 
 
@@ -47,10 +49,13 @@ def view_before_purchase(spark: SparkSession, data_dir: str, **limits) -> DataFr
 
 
 VIEW_BEFORE_PURCHASE_SQL = """
-select p.event_id, p.user_id, p.ts, v.event_id as view_event_id, v.ts as view_ts
-from (select * from events where event_type = 'purchase') p
-asof left join (select * from events where event_type = 'view') v
-  on p.user_id = v.user_id and p.ts > v.ts
+select event_id, user_id, ts, view_event_id, view_ts
+from (select event_id, user_id, ts, event_type,
+             last_value(case when event_type = 'view' then event_id end ignore nulls) over earlier as view_event_id,
+             last_value(case when event_type = 'view' then ts end ignore nulls) over earlier as view_ts
+      from events
+      window earlier as (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding))
+where event_type = 'purchase'
 """
 
 
@@ -150,6 +155,19 @@ select (select count(*) from v) as viewed, (select count(*) from c) as clicked,
 """
 
 
+def first_events(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Events that follow no other of the same user and type within ten minutes."""
+    events = _events(spark, data_dir, "event_id", "ts", "user_id", "event_type")
+    return first_within(events, ["user_id", "event_type"], "ts", "event_id", "10 minutes")
+
+
+FIRST_EVENTS_SQL = """
+select event_id, ts, user_id, event_type
+from (select *, lag(ts) over (partition by user_id, event_type order by ts, event_id) as before from events)
+where before is null or ts > before + interval 10 minutes
+"""
+
+
 def active_day_runs(spark: SparkSession, data_dir: str) -> DataFrame:
     """Runs of consecutive days on which a user has events."""
     return consecutive_days(_events(spark, data_dir, "user_id", "ts"), "user_id", "ts")
@@ -180,6 +198,7 @@ QUERIES = {
     "hourly_event_counts": Query(hourly_event_counts, HOURLY_EVENT_COUNTS_SQL),
     "sliding_event_counts": Query(sliding_event_counts, SLIDING_EVENT_COUNTS_SQL),
     "user_sessions": Query(user_sessions, SQL_SESSIONS),
+    "first_events": Query(first_events, FIRST_EVENTS_SQL),
     "funnel": Query(funnel, FUNNEL_SQL),
     "active_day_runs": Query(active_day_runs, ACTIVE_DAY_RUNS_SQL),
     "props_key_counts": Query(props_key_counts, PROPS_KEY_COUNTS_SQL),

@@ -1,8 +1,5 @@
-"""The event queries that run as streams. Each works through the whole table.
-
-Windows and sessions come out once the watermark has passed their end, so the last ones,
-still open when the input ends, do not. The SQL leaves out the same ones.
-"""
+"""The event queries that run as streams. Each works through the whole table and closes its
+stream, so that the last windows and sessions come out as well."""
 
 from __future__ import annotations
 
@@ -10,12 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import as_double, exact_sum, units
-from tidemark.plans.events import PURCHASES_SOON_AFTER_VIEW_SQL, SQL_SESSIONS, SQL_VALUE
+from tidemark.plans.events import (
+    FIRST_EVENTS_SQL,
+    HOURLY_EVENT_COUNTS_SQL,
+    PURCHASES_SOON_AFTER_VIEW_SQL,
+    SLIDING_EVENT_COUNTS_SQL,
+    SQL_SESSIONS,
+)
 from tidemark.plans.registry import Query
-from tidemark.sources import stream, table
+from tidemark.sources import closable_stream, stream, table
 from tidemark.streaming import (
     first_within,
-    hot_keys,
     matched_within,
     run_to_table,
     running_counts,
@@ -40,55 +42,31 @@ def _plain(df: DataFrame, *times: str) -> DataFrame:
 
 
 def stream_hourly_counts(spark: SparkSession, data_dir: str) -> DataFrame:
-    events = _events(spark, data_dir, "ts", "event_type", "value")
-    out = run_to_table(spark, window_sums(events, ["event_type"], "ts", "1 hour", _sums()), "hourly-counts")
-    return _plain(out, "window_start", "window_end")
+    events, close = closable_stream(spark, data_dir, "events", ["ts", "event_type", "value"])
+    sums = window_sums(events, ["event_type"], "ts", "1 hour", _sums())
+    return _plain(run_to_table(spark, sums, "hourly-counts", close=close), "window_start", "window_end")
 
 
-# watermarks are in whole milliseconds
-SQL_WATERMARK = "(select date_trunc('milliseconds', max(ts)) - interval 10 minutes from events)"
-
-STREAM_HOURLY_COUNTS_SQL = f"""
-select date_trunc('hour', ts) as window_start, date_trunc('hour', ts) + interval 1 hour as window_end,
-       event_type, count(*) as events, {SQL_VALUE} as total
-from events where date_trunc('hour', ts) + interval 1 hour <= {SQL_WATERMARK}
-group by 1, 2, 3
-"""
+STREAM_HOURLY_COUNTS_SQL = f"select *, window_start + interval 1 hour as window_end from ({HOURLY_EVENT_COUNTS_SQL})"
 
 
 def stream_sliding_counts(spark: SparkSession, data_dir: str) -> DataFrame:
-    events = _events(spark, data_dir, "ts", "value")
-    out = run_to_table(spark, window_sums(events, [], "ts", "2 hours", _sums(), hop="1 hour"), "sliding-counts")
-    return _plain(out, "window_start", "window_end")
-
-
-STREAM_SLIDING_COUNTS_SQL = f"""
-select window_start, window_start + interval 2 hours as window_end, count(*) as events, {SQL_VALUE} as total
-from (select value, unnest([date_trunc('hour', ts) - interval 1 hour, date_trunc('hour', ts)]) as window_start
-      from events)
-where window_start + interval 2 hours <= {SQL_WATERMARK}
-group by 1, 2
-"""
+    events, close = closable_stream(spark, data_dir, "events", ["ts", "value"])
+    sums = window_sums(events, [], "ts", "2 hours", _sums(), hop="1 hour")
+    return _plain(run_to_table(spark, sums, "sliding-counts", close=close), "window_start", "window_end")
 
 
 def stream_sessions(spark: SparkSession, data_dir: str) -> DataFrame:
-    events = _events(spark, data_dir, "user_id", "ts", "value")
-    out = run_to_table(spark, session_sums(events, "user_id", "ts", "30 minutes", _sums()), "sessions")
-    return _plain(out, "session_start", "session_end")
-
-
-STREAM_SESSIONS_SQL = f"select * from ({SQL_SESSIONS}) where session_end <= {SQL_WATERMARK}"
+    events, close = closable_stream(spark, data_dir, "events", ["user_id", "ts", "value"])
+    sums = session_sums(events, "user_id", "ts", "30 minutes", _sums())
+    return _plain(run_to_table(spark, sums, "sessions", close=close), "session_start", "session_end")
 
 
 def stream_first_events(spark: SparkSession, data_dir: str) -> DataFrame:
-    """Events less those that repeat a user and type within ten minutes.
-
-    Which rows come out depends on how the input falls into micro-batches: a key is held
-    until the watermark passes, and the watermark moves between batches only.
-    """
-    events = _events(spark, data_dir, "event_id", "ts", "user_id", "event_type")
-    out = run_to_table(spark, first_within(events, ["user_id", "event_type"], "ts", "10 minutes"), "first-events")
-    return _plain(out, "ts")
+    """Events that follow no other of the same user and type within ten minutes."""
+    events, close = closable_stream(spark, data_dir, "events", ["event_id", "ts", "user_id", "event_type"])
+    out = first_within(events, ["user_id", "event_type"], "ts", "event_id", "10 minutes")
+    return _plain(run_to_table(spark, out, "first-events", close=close), "ts")
 
 
 def stream_purchases_soon_after_view(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -103,7 +81,6 @@ def stream_purchases_soon_after_view(spark: SparkSession, data_dir: str) -> Data
         "ts",
         "event_id",
         "2 hours",
-        hot=hot_keys(table(spark, data_dir, "events"), "user_id"),
     )
     return _plain(run_to_table(spark, out, "soon-after-view"), "ts")
 
@@ -112,8 +89,7 @@ def stream_events_with_segment(spark: SparkSession, data_dir: str) -> DataFrame:
     """Each event with the market segment of the customer of the same number, if any."""
     events = _events(spark, data_dir, "event_id", "user_id", "event_type")
     customers = table(spark, data_dir, "customer").select("c_custkey", "c_mktsegment")
-    hot = hot_keys(table(spark, data_dir, "events"), "user_id")
-    return run_to_table(spark, with_lookup(events, customers, "user_id", "c_custkey", "event_id", hot), "segments")
+    return run_to_table(spark, with_lookup(events, customers, "user_id", "c_custkey"), "segments")
 
 
 STREAM_EVENTS_WITH_SEGMENT_SQL = """
@@ -132,9 +108,9 @@ STREAM_RUNNING_COUNTS_SQL = "select user_id, count(*) as events from events grou
 
 QUERIES = {
     "stream_hourly_counts": Query(stream_hourly_counts, STREAM_HOURLY_COUNTS_SQL),
-    "stream_sliding_counts": Query(stream_sliding_counts, STREAM_SLIDING_COUNTS_SQL),
-    "stream_sessions": Query(stream_sessions, STREAM_SESSIONS_SQL),
-    "stream_first_events": Query(stream_first_events),
+    "stream_sliding_counts": Query(stream_sliding_counts, SLIDING_EVENT_COUNTS_SQL),
+    "stream_sessions": Query(stream_sessions, SQL_SESSIONS),
+    "stream_first_events": Query(stream_first_events, FIRST_EVENTS_SQL),
     "stream_purchases_soon_after_view": Query(stream_purchases_soon_after_view, PURCHASES_SOON_AFTER_VIEW_SQL),
     "stream_events_with_segment": Query(stream_events_with_segment, STREAM_EVENTS_WITH_SEGMENT_SQL),
     "stream_running_counts": Query(stream_running_counts, STREAM_RUNNING_COUNTS_SQL),

@@ -1,21 +1,19 @@
-"""Queries that call Python functions from Spark plans."""
+"""Queries that would once have called Python functions, in the built-in ones that say the same."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import Words, aggregate_in_batches, first_digit, slope_per_group
 from tidemark.plans.registry import Query
 from tidemark.sources import table
 
 
 def price_first_digits(spark: SparkSession, data_dir: str) -> DataFrame:
     """Orders counted by the first digit of their price."""
-    prices = table(spark, data_dir, "orders").select(first_digit(F.col("o_totalprice")).alias("digit"))
-    return prices.groupBy("digit").agg(F.count(F.lit(1)).alias("orders"))
+    whole = F.floor("o_totalprice").cast("string")
+    digit = F.left(whole, F.lit(1)).cast("bigint").alias("digit")
+    return table(spark, data_dir, "orders").groupBy(digit).agg(F.count(F.lit(1)).alias("orders"))
 
 
 PRICE_FIRST_DIGITS_SQL = """
@@ -24,19 +22,14 @@ from orders group by 1
 """
 
 
-def _log_sums(part: pd.DataFrame) -> dict[str, float]:
-    logs = np.log(part["o_totalprice"].to_numpy())
-    return {"n": float(len(logs)), "logs": float(logs.sum())}
-
-
 def geometric_mean_price(spark: SparkSession, data_dir: str) -> DataFrame:
-    """Geometric mean of the order price per priority, as an aggregate written in pandas."""
-    orders = table(spark, data_dir, "orders").select("o_orderpriority", "o_totalprice")
-    sums = aggregate_in_batches(orders, ["o_orderpriority"], _log_sums, {"n": "sum", "logs": "sum"})
-    return sums.select(
-        "o_orderpriority",
-        F.col("n").cast("long").alias("orders"),
-        F.round(F.exp(F.col("logs") / F.col("n")), 4).alias("geometric_mean"),
+    """Geometric mean of the order price per priority. Logarithms are summed as whole numbers
+    of 10^-12, so the order of the rows makes no difference."""
+    log = F.round(F.ln("o_totalprice") * 1e12).cast("decimal(20,0)")
+    n = F.count("o_totalprice")
+    mean = F.exp(F.sum(log).cast("double") / n / 1e12)
+    return table(spark, data_dir, "orders").groupBy("o_orderpriority").agg(
+        F.count(F.lit(1)).alias("orders"), F.round(mean, 4).alias("geometric_mean")
     )
 
 
@@ -47,14 +40,14 @@ from orders group by o_orderpriority
 
 
 def daily_trend_by_user(spark: SparkSession, data_dir: str) -> DataFrame:
-    """Slope of each user's events per day. Days are counted before Python sees them."""
+    """Slope of each user's events per day."""
     start = F.lit("2024-01-01").cast("date")
     days = (
         table(spark, data_dir, "events")
         .groupBy("user_id", F.date_diff(F.to_date("ts"), start).alias("day"))
         .agg(F.count(F.lit(1)).alias("events"))
     )
-    return slope_per_group(days, "user_id", "day", "events").withColumn("slope", F.round("slope", 9))
+    return days.groupBy("user_id").agg(F.round(F.regr_slope("events", "day"), 9).alias("slope"))
 
 
 DAILY_TREND_SQL = """
@@ -65,10 +58,10 @@ group by user_id
 
 
 def name_words_by_position(spark: SparkSession, data_dir: str) -> DataFrame:
-    """Words of part names counted by place, from a table function in a lateral join."""
-    parts = table(spark, data_dir, "part").select("p_name")
-    words = parts.lateralJoin(Words(F.col("p_name").outer()))
-    return words.groupBy("position", "word").agg(F.count(F.lit(1)).alias("parts"))
+    """Words of part names counted by place."""
+    words = F.posexplode(F.split(F.lower("p_name"), " ")).alias("place", "word")
+    placed = table(spark, data_dir, "part").select(words).withColumn("position", (F.col("place") + 1).cast("bigint"))
+    return placed.groupBy("position", "word").agg(F.count(F.lit(1)).alias("parts"))
 
 
 NAME_WORDS_SQL = """

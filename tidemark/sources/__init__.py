@@ -1,4 +1,4 @@
-from tidemark.sources.tables import stream, table
+from tidemark.sources.tables import closable_stream, stream, table
 from tidemark.sources.partitioned import read_partitions, write_partitioned
 
-__all__ = ["read_partitions", "stream", "table", "write_partitioned"]
+__all__ = ["closable_stream", "read_partitions", "stream", "table", "write_partitioned"]

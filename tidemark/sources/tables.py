@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import shared_dir
+
 
 def table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
     """The table ``name``: one Parquet file, or a folder of them."""
@@ -18,8 +23,12 @@ def stream(
     name: str,
     event_time: str = "ts",
     max_files: int | None = None,
+    max_bytes: int = 1 << 30,
 ) -> DataFrame:
-    """The same table as a stream, ``max_files`` files to a micro-batch if given.
+    """The same table as a stream, by files in the order in which they were written.
+
+    A micro-batch takes files of some ``max_bytes``, or ``max_files`` files if given, so that
+    state is dropped as the stream goes on and does not hold the whole table.
 
     Watermarks need a ``timestamp``, and the files hold ``timestamp_ntz``, so the event
     time is cast. The bracket makes the path a pattern, which the file source accepts for
@@ -29,7 +38,36 @@ def stream(
     reader = spark.readStream.schema(schema)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
+    else:
+        reader = reader.option("maxBytesPerTrigger", str(max_bytes))
     rows = reader.parquet(f"{data_dir}/{name}[.]parquet")
     if isinstance(schema[event_time].dataType, T.TimestampNTZType):
         rows = rows.withColumn(event_time, F.col(event_time).cast("timestamp"))
     return rows
+
+
+#: Later than any event; windows around it never end.
+END_OF_TIME = datetime.datetime(2262, 1, 1)
+
+
+def closable_stream(
+    spark: SparkSession, data_dir: str, name: str, columns: list[str], event_time: str = "ts", **how
+) -> tuple[DataFrame, Callable[[], None]]:
+    """``columns`` of the table as a stream, and a function that closes it.
+
+    Windows and sessions come out once the watermark has passed them, and the last events do
+    not move it that far. Closing adds one row far in the future, null but for its time, which
+    does. That row's own window stays open, so it is in no result. Rows that come after it are
+    late.
+    """
+    events = stream(spark, data_dir, name, event_time, **how).select(*columns)
+    folder = shared_dir(spark, f"{name}-end")
+    none = spark.createDataFrame([], events.schema)
+    none.write.parquet(f"{folder}/{name}.parquet")
+    ends = spark.readStream.schema(events.schema).parquet(f"{folder}/{name}[.]parquet")
+
+    def close() -> None:
+        row = tuple(END_OF_TIME if c == event_time else None for c in events.columns)
+        spark.createDataFrame([row], events.schema).coalesce(1).write.mode("append").parquet(f"{folder}/{name}.parquet")
+
+    return events.unionByName(ends), close

@@ -1,12 +1,11 @@
 from tidemark.streaming.dedup import first_within
-from tidemark.streaming.joins import hot_keys, matched_within, with_lookup
+from tidemark.streaming.joins import matched_within, with_lookup
 from tidemark.streaming.sinks import run_to_table
 from tidemark.streaming.state import running_counts
 from tidemark.streaming.windows import session_sums, window_sums
 
 __all__ = [
     "first_within",
-    "hot_keys",
     "matched_within",
     "run_to_table",
     "running_counts",

@@ -1,40 +1,23 @@
-"""Repeats in a stream."""
+"""Repeats in a stream or a table."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
-def _thin(keys: list[str], time: str):
-    """Keep the first row of each key in an Arrow batch, and the batch's latest row.
-
-    The latest row keeps the watermark where the dropped rows would have put it.
-    """
-
-    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            at = pa.array(range(batch.num_rows))
-            firsts = pa.table({**{k: batch[k] for k in keys}, "_at": at}).group_by(keys).aggregate([("_at", "min")])
-            kept = set(firsts["_at_min"].to_pylist())
-            if batch[time].null_count < batch.num_rows:
-                kept.add(pc.index(batch[time], pc.max(batch[time])).as_py())
-            yield batch.take(pa.array(sorted(kept)))
-
-    return per_batch
-
-
-def first_within(events: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
-    """Drop rows that repeat ``keys`` within ``delay`` of a row already given out.
+def first_within(events: DataFrame, keys: list[str], time: str, id_column: str, quiet: str, delay: str = "10 minutes") -> DataFrame:
+    """Events with no event of the same ``keys`` in the ``quiet`` time before them.
 
-    Spark gives out at most one row per key in a micro-batch, so a second one in the same
-    batch of a task can be dropped before the shuffle. A key that floods the stream then
-    reaches its state as a row or two per Arrow batch.
+    Time is measured from the last event, not from the last one given out: events that keep
+    following each other within ``quiet``, or exactly that far apart, give one row, the first
+    by time and ``id_column``. So the answer does not depend on how the input falls into
+    micro-batches. In a stream a row comes out once the watermark, ``delay`` behind the latest
+    event, has passed the end of its run, and only rows later than that are left out. Runs are
+    merged in the map tasks.
     """
-    thinned = events.mapInArrow(_thin(keys, time), events.schema)
-    return thinned.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+    if events.isStreaming:
+        events = events.withWatermark(time, delay)
+    run = F.session_window(time, quiet).alias("_run")
+    first = F.min(F.struct(time, id_column)).alias("_first")
+    return events.groupBy(*keys, run).agg(first).select(*keys, f"_first.{time}", f"_first.{id_column}")

@@ -1,80 +1,43 @@
-"""Streams joined to tables and to each other.
-
-Adaptive execution does not split skewed partitions of streams, so the keys known to be hot
-are salted: a row of the larger side takes one of ``salts`` numbers, and the other side's
-rows for hot keys are copied once for each. Other keys are left as they are. The hot keys
-change only how the work is spread.
-"""
+"""Streams joined to tables and to each other."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def hot_keys(df: DataFrame, key: str, share: float = 0.001, min_rows: int = 1_000_000) -> list:
-    """Keys with more than ``share`` of the rows, so at most ``1 / share`` of them."""
-    total = df.count()
-    if total < min_rows:
-        return []
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > total * share)
-    return [r[0] for r in counts.select(key).collect()]
-
-
-def _salted(df: DataFrame, key: str, spread_by: str, hot: list, salts: int) -> DataFrame:
-    salt = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
-    return df.withColumn("_salt", F.when(F.col(key).isin(hot), salt).otherwise(0))
+def with_lookup(events: DataFrame, lookup: DataFrame, key: str, lookup_key: str) -> DataFrame:
+    """Left join of a stream to a table. It keeps no state; Spark broadcasts the table while
+    it is small, and no key of the stream then moves at all."""
+    return events.join(lookup, F.col(key) == F.col(lookup_key), "left").drop(lookup_key)
 
 
-def _copied(df: DataFrame, key: str, hot: list, salts: int) -> DataFrame:
-    each = F.sequence(F.lit(0), F.lit(salts - 1))
-    return df.withColumn("_salt", F.explode(F.when(F.col(key).isin(hot), each).otherwise(F.array(F.lit(0)))))
-
-
-def with_lookup(
-    events: DataFrame,
-    lookup: DataFrame,
-    key: str,
-    lookup_key: str,
-    spread_by: str,
-    hot: list | None = None,
-    salts: int = 64,
-) -> DataFrame:
-    """Left join of a stream to a table. Spark broadcasts the table while it is small."""
-    if not hot:
-        return events.join(lookup, F.col(key) == F.col(lookup_key), "left").drop(lookup_key)
-    left = _salted(events, key, spread_by, hot, salts)
-    right = _copied(lookup, lookup_key, hot, salts).withColumnRenamed("_salt", "_copy")
-    same = (F.col(key) == F.col(lookup_key)) & (F.col("_salt") == F.col("_copy"))
-    return left.join(right, same, "left").drop(lookup_key, "_salt", "_copy")
+def _bucket(time: str, length: str) -> Column:
+    """The number of the stretch of ``length`` that a time falls in, counted from 1970."""
+    width = F.expr(f"unix_micros(timestamp_seconds(0) + interval {length})")
+    return F.floor(F.unix_micros(F.col(time).cast("timestamp")) / width)
 
 
 def matched_within(
-    left: DataFrame,
-    right: DataFrame,
-    key: str,
-    time: str,
-    id_column: str,
-    within: str,
-    delay: str = "10 minutes",
-    hot: list | None = None,
-    salts: int = 16,
+    left: DataFrame, right: DataFrame, key: str, time: str, id_column: str, within: str, delay: str = "10 minutes"
 ) -> DataFrame:
     """Rows of one stream with a row of the other by the same key up to ``within`` before.
 
     A semi join: each row comes out once, however many rows it matches, and both sides'
-    state is dropped when the watermarks pass.
+    state is dropped when the watermarks pass. Time is cut into stretches of ``within``, and
+    rows meet by key and stretch, the right side's in its own and the next one; so a busy
+    key's rows spread over its stretches, by a rule that is the same at every start.
     """
-    hot = hot or []
-    left = _salted(left, key, id_column, hot, salts).withWatermark(time, delay)
-    right = _copied(right.select(key, time, id_column), key, hot, salts)
+    left = left.withColumn("_stretch", _bucket(time, within)).withWatermark(time, delay)
+    own = _bucket(time, within)
+    right = right.select(key, time, id_column).withColumn("_stretch", F.explode(F.array(own, own + 1)))
     right = right.withColumnsRenamed({c: f"_r_{c}" for c in right.columns}).withWatermark(f"_r_{time}", delay)
     here, there = F.col(time), F.col(f"_r_{time}")
     condition = (
         (F.col(key) == F.col(f"_r_{key}"))
-        & (F.col("_salt") == F.col("_r__salt"))
+        & (F.col("_stretch") == F.col("_r__stretch"))
         & (there >= here - F.expr(f"interval {within}"))
         & (there <= here)
         & ((there < here) | (F.col(f"_r_{id_column}") < F.col(id_column)))
     )
-    return left.join(right, condition, "left_semi").drop("_salt")
+    return left.join(right, condition, "left_semi").drop("_stretch")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.session import shared_dir
@@ -13,20 +15,30 @@ def run_to_table(
     name: str,
     path: str | None = None,
     checkpoint: str | None = None,
+    close: Callable[[], None] | None = None,
 ) -> DataFrame:
     """Work through all input there is, append the results to a Parquet table and read it.
 
     The file sink commits each micro-batch once, so a stream that is started again with the
-    same ``path`` and ``checkpoint`` goes on where it stopped and repeats nothing.
+    same ``path`` and ``checkpoint`` goes on where it stopped and repeats nothing. ``close``,
+    from ``sources.closable_stream``, says that no more input will come: what is still open
+    then comes out as well. Without a ``path`` a new one is taken; its owner removes it.
     """
     path = path or shared_dir(spark, f"{name}-table")
     checkpoint = checkpoint or shared_dir(spark, f"{name}-checkpoint")
-    (
-        rows.writeStream.format("parquet")
-        .outputMode("append")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start(path)
-        .awaitTermination()
-    )
+
+    def go_on() -> None:
+        (
+            rows.writeStream.format("parquet")
+            .outputMode("append")
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start(path)
+            .awaitTermination()
+        )
+
+    go_on()
+    if close is not None:
+        close()
+        go_on()
     return spark.read.schema(rows.schema).parquet(path)

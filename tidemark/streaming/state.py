@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -14,25 +15,29 @@ def running_counts(events: DataFrame, key: str) -> DataFrame:
     """The number of events so far of each key in a micro-batch, given out once per batch.
 
     Rows are counted per Arrow batch first, so a busy key sends one row for each of those
-    to its state and not one for each event.
+    to its state and not one for each event. Keys stay in Arrow there: pandas would turn whole
+    numbers beside a null into floats and merge large ones. A null is a key of its own. State
+    is one number a key and is kept for good, as any key may come again. Nothing here needs
+    timers or several state variables, so the plain form of state is used.
     """
     key_type = events.schema[key].dataType
     partial = T.StructType([T.StructField(key, key_type), T.StructField("n", T.LongType())])
     out = T.StructType([T.StructField(key, key_type), T.StructField("events_so_far", T.LongType())])
 
-    def count(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for page in pages:
-            yield page.groupby(key, dropna=False).size().rename("n").reset_index()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = pa.Table.from_batches([batch]).group_by(key).aggregate([([], "count_all")])
+            yield from counts.select([key, "count_all"]).rename_columns([key, "n"]).to_batches()
 
     def add_up(group: tuple, pages: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         so_far = state.get[0] if state.exists else 0
         so_far += sum(int(page["n"].sum()) for page in pages)
         state.update((so_far,))
-        yield pd.DataFrame({key: [group[0]], "events_so_far": [so_far]})
+        yield pd.DataFrame({key: pd.Series([group[0]], dtype=object), "events_so_far": [so_far]})
 
     return (
         events.select(key)
-        .mapInPandas(count, partial)
+        .mapInArrow(count, partial)
         .groupBy(key)
         .applyInPandasWithState(add_up, out, "so_far bigint", "append", GroupStateTimeout.NoTimeout)
     )
