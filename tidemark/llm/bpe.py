@@ -163,7 +163,7 @@ def encode(
         vocab, find = pickle.loads(shared.value), regex.compile(pattern).findall
         pretokens = Pretokens(vocab)
         # chunks that differ in signs alone share pre-tokens
-        chunks = Chunks(lambda text: b"".join(map(pretokens.__getitem__, find(text))))
+        chunks = Chunks(lambda text: b"".join(map(pretokens.__getitem__, find(text))), most=450_000)
 
         def work(batch: pa.RecordBatch) -> dict:
             parts = [chunks.ids(t) for t in batch["text"].to_pylist()]

@@ -68,7 +68,7 @@ def words_of(text: str) -> list[str]:
 class Gains(dict):
     """Gains by word as it stands in a text, worked out once for each bare word."""
 
-    def __init__(self, gain: Callable[[str], int], most: int = 400_000):
+    def __init__(self, gain: Callable[[str], int], most: int = 250_000):
         super().__init__()
         self.gain, self.bare, self.most = gain, {}, most
 

@@ -35,7 +35,7 @@ class Chunks(dict):
 
     RUNS = re.compile(r"\s \s|  | $")
 
-    def __init__(self, encode: Callable[[str], bytes], most: int = 450_000):
+    def __init__(self, encode: Callable[[str], bytes], most: int = 250_000):
         super().__init__()
         self.encode, self.most = encode, most
 
