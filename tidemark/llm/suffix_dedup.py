@@ -25,6 +25,13 @@ def minimisers(codes: np.ndarray, k: int, among: int) -> tuple[np.ndarray, np.nd
     return chosen, np.unique(chosen)
 
 
+def among_sorted(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of ``values`` are among sorted ``keys``, without going through all the keys."""
+    if not len(keys):
+        return np.zeros(len(values), bool)
+    return keys[np.minimum(np.searchsorted(keys, values), len(keys) - 1)] == values
+
+
 def shared_passages(
     df: DataFrame, passage: int = PASSAGE, k: int = MINIMISER, among: int = AMONG, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -69,7 +76,7 @@ def shared_passages(
         keys = keys[(counts > 1) | exchange.marked(keys, few, marks)]
         starts, hashes = [], []
         for codes, chosen, at, h in found:
-            shared = at[np.isin(h, keys)]
+            shared = at[among_sorted(h, keys)]
             s = np.flatnonzero(np.isin(chosen, shared))
             starts.append(s)
             hashes.append(rolling.windows(codes, passage)[s] if len(s) else np.zeros(0, np.uint64))
@@ -95,7 +102,7 @@ def shared_passages(
         keys = keys[(counts > 1) | exchange.marked(keys, many, marks.filter(pa.array(rounds == 2)))]
         rows = []
         for doc, text, s, h in zip(table["doc_id"].to_pylist(), table["text"].to_pylist(), starts, hashes, strict=True):
-            begin = s[np.isin(h, keys)]
+            begin = s[among_sorted(h, keys)]
             if len(begin):
                 words = WORD.findall(text)
                 mask = np.zeros(len(words), bool)
