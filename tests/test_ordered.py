@@ -104,6 +104,21 @@ def test_cuts_are_few_and_only_in_long_groups(rows):
     assert find_cuts(rows, ["k"], ["v", "id"], longest_group=600) == []
 
 
+def test_what_gives_the_rows_is_read_once(spark, rows, tmp_path):
+    """Neither the source nor an earlier step is worked out again, however many steps follow."""
+    rows.write.parquet(f"{tmp_path}/source")
+    reads = []
+    groups = OrderedGroups(spark.read.parquet(f"{tmp_path}/source"), ["k"], ["v", "id"], run_rows=5, sampled_per_run=5)
+    column = "x"
+    for step in range(4):
+        groups = groups.running(**{f"s{step}": ("max", F.col(column))}).lagged(1, "id")
+        column = f"s{step}"
+        assert not any("/source/" in f for f in groups.df().inputFiles())
+        reads.append(groups.df()._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+    # the rows, their sums per run, the first and the last rows of each run
+    assert reads == [4] * 4
+
+
 FORCED = {"longest_group": None, "run_rows": 6, "sampled_per_run": 3}
 
 

@@ -9,6 +9,9 @@ The cuts come from a sample, which is read once, and are then fixed values in th
 row's run depends on nothing but the row, so a task that is run again after losing its
 executor gives the same answer. The sample decides where to cut and never which rows are
 kept: any cuts give the same results.
+
+Rows that may need cuts are first written to the shared folder. Counting, sampling and all
+steps read them from there, so what gives the rows is worked out once.
 """
 
 from __future__ import annotations
@@ -21,7 +24,22 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import shared_dir
+
 FOLD = {"sum": F.sum, "min": F.min, "max": F.max}
+RUN_ROWS = 2_000_000
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, where it stays until the folder's owner removes it."""
+    path = shared_dir(df.sparkSession, "ordered-rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def all_short(longest_group: int | None, run_rows: int = RUN_ROWS, **_) -> bool:
+    """Whether a bound on the longest group shows that none needs a cut."""
+    return longest_group is not None and longest_group < 2 * run_rows
 
 
 def find_cuts(
@@ -29,8 +47,8 @@ def find_cuts(
     keys: list[str],
     order: list[str],
     longest_group: int | None = None,
-    run_rows: int = 2_000_000,
-    max_runs: int = 4096,
+    run_rows: int = RUN_ROWS,
+    max_runs: int = 65_536,
     sampled_per_run: int = 64,
 ) -> list[Row]:
     """The (keys, order) rows at which long groups are cut; empty when no group is long.
@@ -44,7 +62,7 @@ def find_cuts(
     as the count of the whole table, which Parquet footers hold. When it shows that no
     group is long, nothing is counted or sampled.
     """
-    if longest_group is not None and longest_group < 2 * run_rows:
+    if all_short(longest_group, run_rows):
         return []
     total = df.count()
     if total < 2 * run_rows:
@@ -72,23 +90,35 @@ class OrderedGroups:
 
     def __init__(self, df: DataFrame, keys: list[str], order: list[str], **limits) -> None:
         self.keys, self.order = list(keys), list(order)
+        if not all_short(**{"longest_group": None, **limits}):
+            df = written(df)
         cuts = find_cuts(df, self.keys, self.order, **limits)
         self.cut = bool(cuts)
         self._rows = self._assign_runs(df, cuts) if cuts else df
-        # the rows before any step, for what runs pass on that no step has a part in
+        # written rows, before the steps since: what runs pass on is taken from them
         self._base = self._rows
 
     def df(self) -> DataFrame:
         return self._rows.drop("_cut", "_run") if self.cut else self._rows
 
-    def _with(self, rows: DataFrame) -> OrderedGroups:
+    def _with(self, rows: DataFrame, added: list[str]) -> OrderedGroups:
+        """After a step. A column that the step put in place of another is no longer in the base."""
         new = object.__new__(OrderedGroups)
         new.keys, new.order, new.cut = self.keys, self.order, self.cut
-        new._rows, new._base = rows, self._base
+        new._rows, new._base = rows, self._base.drop(*added)
         return new
 
-    def _having(self, *names: str) -> DataFrame:
-        return self._base if {*names} <= {*self._base.columns} else self._rows
+    def _ready(self, *names: str) -> OrderedGroups:
+        """These rows, with a base that has the columns ``names``.
+
+        Where an earlier step gave one of them, the rows so far are written, so each step is
+        worked out once however many follow.
+        """
+        if not self.cut or {*names} <= {*self._base.columns}:
+            return self
+        new = self._with(written(self._rows), [])
+        new._base = new._rows
+        return new
 
     def _assign_runs(self, df: DataFrame, cuts: list[Row]) -> DataFrame:
         """Add ``_run``, the number of cuts at or before a row, and ``_cut``, whether any exist.
@@ -156,15 +186,18 @@ class OrderedGroups:
         """Fold values from the start of the group to the row itself.
 
         Each column is a pair of ``"sum"``, ``"min"`` or ``"max"`` and the value to fold.
-        Nulls are passed over.
+        Nulls are passed over. Long groups are read once for all the columns of a call, so
+        columns that do not need each other belong in one.
         """
+        # values may have parts of any column
+        self = self._ready(*self._rows.columns)
         up_to_row = self._in_run().rowsBetween(Window.unboundedPreceding, Window.currentRow)
         rows = self._rows.withColumns({n: FOLD[f](c).over(up_to_row) for n, (f, c) in columns.items()})
         if not self.cut:
-            return self._with(rows)
+            return self._with(rows, [*columns])
         runs_before = self._across_runs().rowsBetween(Window.unboundedPreceding, -1)
         per_run = (
-            self._long(self._rows)
+            self._long(self._base)
             .groupBy(*self.keys, "_run")
             .agg(*[FOLD[f](c).alias(f"_in_{n}") for n, (f, c) in columns.items()])
         )
@@ -181,7 +214,7 @@ class OrderedGroups:
                 whole[n] = F.coalesce(here + before, here, before)
             else:
                 whole[n] = (F.least if f == "min" else F.greatest)(here, before)
-        return self._with(rows.withColumns(whole).drop(*[f"_pre_{n}" for n in columns]))
+        return self._with(rows.withColumns(whole).drop(*[f"_pre_{n}" for n in columns]), [*columns])
 
     def lagged(self, n: int, *names: str) -> OrderedGroups:
         """Add ``{name}_lag1`` to ``{name}_lag{n}``: values of the ``n`` rows before each row.
@@ -189,14 +222,15 @@ class OrderedGroups:
         Only the first ``n`` rows of a run look into earlier runs, and all that they can
         see is among the first and last ``n`` rows of each run.
         """
+        self = self._ready(*names)
         lags = [(f"{c}_lag{i}", c, i) for c in names for i in range(1, n + 1)]
         w = self._in_run()
         rows = self._rows.withColumns({a: F.lag(c, i).over(w) for a, c, i in lags})
         if not self.cut:
-            return self._with(rows)
+            return self._with(rows, [a for a, _, _ in lags])
         # a filter on row_number keeps n rows of a run in each map task, before the shuffle
         others = sorted({*names} - {*self.order})
-        wanted = self._long(self._having(*names)).select(*self._group(), *self.order, *others)
+        wanted = self._long(self._base).select(*self._group(), *self.order, *others)
         backwards = Window.partitionBy(*self._group()).orderBy(*[F.desc(o) for o in self.order])
         firsts = wanted.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= n)
         lasts = wanted.withColumn("_back", F.row_number().over(backwards)).where(F.col("_back") <= n)
@@ -213,7 +247,7 @@ class OrderedGroups:
         rows = self._join_per_run(rows, seen, ("_run", "_nth"))
         first = F.col("_cut") & (F.col("_nth") <= n)
         rows = rows.withColumns({a: F.when(first, F.col(f"_true_{a}")).otherwise(F.col(a)) for a, _, _ in lags})
-        return self._with(rows.drop("_nth", *[f"_true_{a}" for a, _, _ in lags]))
+        return self._with(rows.drop("_nth", *[f"_true_{a}" for a, _, _ in lags]), [a for a, _, _ in lags])
 
     def ranked(self) -> OrderedGroups:
         """Add ``row_number``, ``rank``, ``dense_rank`` and ``group_rows``, all ``bigint``.
@@ -222,6 +256,8 @@ class OrderedGroups:
         ``row_number``. A tie may go on over several runs: its rows in a later run all
         have the rank of its first row, wherever that is.
         """
+        self = self._ready(*self.order)
+        added = ["row_number", "rank", "dense_rank", "group_rows"]
         value = self.order[0]
         by_value = Window.partitionBy(*self._group()).orderBy(value)
         rows = self._rows.withColumns(
@@ -233,8 +269,8 @@ class OrderedGroups:
             }
         )
         if not self.cut:
-            return self._with(rows)
-        by_value = self._long(self._having(value)).groupBy(*self.keys, "_run", value).agg(F.count(F.lit(1)).alias("_c"))
+            return self._with(rows, added)
+        by_value = self._long(self._base).groupBy(*self.keys, "_run", value).agg(F.count(F.lit(1)).alias("_c"))
         at = F.struct(value)
         per_run = (
             by_value.groupBy(*self.keys, "_run")
@@ -287,4 +323,4 @@ class OrderedGroups:
                 "group_rows": F.coalesce("_group_rows", "group_rows"),
             }
         )
-        return self._with(rows.drop("_rows_before", "_tie_rank", "_values_before", "_group_rows"))
+        return self._with(rows.drop("_rows_before", "_tie_rank", "_values_before", "_group_rows"), added)
