@@ -83,8 +83,41 @@ def op10_simhash_near_dedup(spark: SparkSession, data_dir: str) -> DataFrame:
     )
 
 
+def repeated_words_sql(width: int) -> str:
+    """Tables for DuckDB: ``words`` (r, doc_id, w) per document and ``gone`` (r, p), the places
+    from 1 of words in a window of ``width`` words that starts elsewhere too."""
+    return rf"""
+    with words as (
+        select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+    ), windows as (
+        select r, u.s, array_to_string(w[u.s:u.s + {width - 1}], ' ') as seq from words, unnest(range(1, len(w) - {width - 2})) as u(s)
+    ), again as (
+        select seq from windows group by seq having count(*) > 1
+    ), gone as (
+        select distinct r, unnest(range(s, s + {width})) as p from windows join again using (seq)
+    )"""
+
+
+PASSAGES_SQL = repeated_words_sql(suffix_dedup.PASSAGE) + """, runs as (
+        select r, min(p) as first, max(p) as last
+        from (select r, p, p - row_number() over (partition by r order by p) as run from gone) group by r, run
+    )
+    select doc_id, (first - 1)::integer as start, last::integer as "end", len(w)::integer as n_words,
+        sha256(array_to_string(w[first:last], ' ')) as passage_sha256
+    from runs join words using (r)"""
+
+KEPT_WORDS_SQL = repeated_words_sql(substring_dedup.WIDTH) + """, places as (
+        select r, u.p, w[u.p] as word from words, unnest(range(1, len(w) + 1)) as u(p)
+    ), kept as (
+        select r, string_agg(word, ' ' order by p) as text, count(*) as n from places anti join gone using (r, p) group by r
+    )
+    select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+    from words left join kept using (r)"""
+
+SQL = {"op5_suffix_array_dedup": PASSAGES_SQL, "op8_substring_dedup": KEPT_WORDS_SQL}
+
 QUERIES: dict[str, Query] = {
-    f.__name__: Query(f)
+    f.__name__: Query(f, SQL.get(f.__name__))
     for f in (
         op1_bpe, op2_secret_scan, op3_toxicity, op4_quality_rules, op5_suffix_array_dedup, op6_tiff,
         op7_best_fit_packing, op8_substring_dedup, op9_sharding, op10_simhash_near_dedup,
