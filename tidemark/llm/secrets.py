@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable
+from itertools import accumulate
 
 import public_tokenizers
 import pyarrow as pa
@@ -40,10 +42,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def random_spans(text: str, base: list[tuple[int, int, int]], tokens: Callable[[str], int]) -> list[tuple[int, int, int]]:
     """(start, kind, end) of random strings that no span of ``base`` touches."""
     found = []
+    starts = [a for a, *_ in base]
+    reach = list(accumulate((b for *_, b in base), max))  # how far the spans up to here go
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
         word = m[0]
-        if any(a < e and s < b for a, _, b in base) or DIGEST.fullmatch(word) or IDENTIFIER.fullmatch(word):
+        before = bisect_left(starts, e)
+        if (before and reach[before - 1] > s) or DIGEST.fullmatch(word) or IDENTIFIER.fullmatch(word):
             continue
         if len(word) < CHARS_A_TOKEN * sum(tokens(word[at : at + SLICE]) for at in range(0, len(word), SLICE)):
             found.append((s, 3, e))
