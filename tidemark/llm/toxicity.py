@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import packed, per_batch, texts
+from tidemark.llm.common import keep, packed, per_batch, texts
 
 #: Bounds of the labelled sample that the driver learns from: documents of either kind, and
 #: bytes of their whole texts.
@@ -23,6 +23,8 @@ MOST_TOXIC, MOST_ORDINARY, MOST_BYTES = 2000, 5000, 16 << 20
 LEVEL = 12
 #: Words in the ordinary part of both dictionaries, and in the toxic part of one.
 ORDINARY_WORDS, TOXIC_WORDS = 6000, 600
+#: Characters of a window; a longer word has several, and counts by the one that gains most.
+WINDOW = 64
 FOLDS = 5
 MARKS = " .,;:!?\"'()"
 
@@ -55,12 +57,19 @@ def gain_of(ordinary: bytes, toxic: bytes) -> Callable[[str], int]:
     plain, both = compressor(ordinary), compressor(ordinary + toxic)
 
     def gain(word: str) -> int:
-        window = f" {word} ".encode("utf-32-le")
-        return len(plain(window)) - len(both(window))
+        windows = [f" {part} ".encode("utf-32-le") for part in parts_of(word)]
+        return max(len(plain(w)) - len(both(w)) for w in windows)
 
     return gain
 
 
+def parts_of(word: str) -> list[str]:
+    """``word``, or where it is longer than a window its windows, each half over the one before."""
+    if len(word) <= WINDOW:
+        return [word]
+    return [word[at : at + WINDOW] for at in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
+
+
 def words_of(text: str) -> list[str]:
     return text.lower().split()
 
@@ -73,7 +82,9 @@ class Gains(dict):
         self.gain, self.bare, self.most = gain, {}, most
 
     def __missing__(self, word: str) -> int:
-        bare = word.strip(MARKS)[:64]
+        bare = word.strip(MARKS)
+        if len(word) > WINDOW:  # not held, so that long words do not fill the memory
+            return self.gain(bare)
         if bare not in self.bare:
             self.bare[bare] = self.gain(bare)
         g = self[word] = self.bare[bare]
@@ -166,7 +177,7 @@ def train(rows: list[tuple[str, int]]) -> Model:
     ordinary, toxic = common[:ORDINARY_WORDS], dictionary_text(toxic_words)
     # ordinary words that the toxic part happens to shorten go into the ordinary part of both
     gain = gain_of(dictionary_text(ordinary), toxic)
-    ordinary = [w for w in common[:30_000] if gain(w[:64]) >= 3][:4000] + ordinary
+    ordinary = [w for w in common[:30_000] if gain(w) >= 3][:4000] + ordinary
     base = dictionary_text(ordinary)
     gains = Gains(gain_of(base, toxic))
     found = [(gains.of(text), label) for text, label in calibrate]
@@ -195,18 +206,27 @@ def train(rows: list[tuple[str, int]]) -> Model:
 
 def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from rows of ``df`` that ``labels`` (doc_id, toxic) marks and that are not held
-    out: of either kind as many as the bounds above allow, those of lowest hash first."""
+    out: of either kind as many as the bounds above allow, those of lowest hash first.
+
+    Of rows that share an id the one of least text is learnt from. The driver reads the lengths
+    of the picked texts, which are a table in the shared folder, and then only those texts that
+    are within the bound of bytes. An id that ``labels`` marks both ways is left out."""
     marked = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     marked = marked.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
+    marked = marked.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other").drop("other")
     some = [marked.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, MOST_TOXIC), (0, MOST_ORDINARY))]
     picked = some[0].unionByName(some[1])
-    rows, size = [], [0, 0]
-    found = texts(df, id_col, text_col).join(F.broadcast(picked.distinct()), "doc_id")
-    for r in sorted(found.select("doc_id", "text", "toxic").collect(), key=lambda r: (xxhash.xxh64_intdigest(str(r["doc_id"])), r["text"])):
-        size[r["toxic"]] += len(r["text"])
+    found = texts(df, id_col, text_col).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    found = keep(found, "labelled")
+    size, taken = [0, 0], {}
+    sizes = found.select("doc_id", "toxic", F.octet_length("text").alias("bytes")).collect()
+    for r in sorted(sizes, key=lambda r: xxhash.xxh64_intdigest(str(r["doc_id"]))):
+        size[r["toxic"]] += r["bytes"]
         if size[r["toxic"]] <= MOST_BYTES:
-            rows.append((r["text"], r["toxic"]))
-    return train(rows)
+            taken[r["doc_id"]] = len(taken)
+    chosen = df.sparkSession.createDataFrame([(doc,) for doc in taken], "doc_id bigint")
+    rows = {taken[r["doc_id"]]: (r["text"], r["toxic"]) for r in found.join(F.broadcast(chosen), "doc_id").collect()}
+    return train([rows[k] for k in range(len(taken))])
 
 
 def scorer(model: Model) -> Callable[[str], float]:
