@@ -30,9 +30,11 @@ class Chunks(dict):
     Under the byte-level pattern a single space between two characters that are not white
     space always begins a match, so chunks can be looked up one by one. Texts in which white
     space stands in longer runs around a space are worked out whole. Ids are held as packed
-    32-bit numbers; the table is emptied when it has ``most`` entries.
+    32-bit numbers; the table is emptied when it has ``most`` entries, and chunks longer than
+    ``LONG``, as texts without spaces have, are not held at all.
     """
 
+    LONG = 64
     RUNS = re.compile(r"\s \s|  | $")
 
     def __init__(self, encode: Callable[[str], bytes], most: int = 250_000):
@@ -40,7 +42,9 @@ class Chunks(dict):
         self.encode, self.most = encode, most
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self[chunk] = self.encode(" " + chunk)
+        ids = self.encode(" " + chunk)
+        if len(chunk) <= self.LONG:
+            self[chunk] = ids
         return ids
 
     def ids(self, text: str) -> bytes:
