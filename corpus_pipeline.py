@@ -3,7 +3,7 @@ that texts share out, secrets masked, and what is left packed into sequences.
 
 Each stage works on all that the one before it kept. All but the last return the columns of
 ``documents``, whatever else the table holds. Rows without a doc_id cannot be named by a group
-and stay; of rows that share a doc_id one stays. A null text stays null until passages are
+and stay; of rows that share a doc_id the least one stays, by text first. A null text stays null until passages are
 taken out, and counts as empty from there on. Empty tables pass through.
 """
 
@@ -30,7 +30,9 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     groups = simhash.near_copies(docs)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     docs = docs.select(*COLUMNS)
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    others = COLUMNS[1:]
+    one = docs.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*others)).alias("row"))
+    return one.select("doc_id", *[f"row.{c}" for c in others]).unionByName(docs.where("doc_id is null"))
 
 
 def shared_passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
