@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import pickle
 import struct
+from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
@@ -123,7 +125,8 @@ class Vocabulary:
 
 
 class Pretokens(dict):
-    """The packed ids of pre-tokens, each worked out once; emptied when it has ``most`` entries."""
+    """The packed ids of pre-tokens, each worked out once but for long ones; emptied when
+    it has ``most`` entries."""
 
     def __init__(self, vocab: Vocabulary, most: int = 450_000):
         super().__init__()
@@ -133,7 +136,9 @@ class Pretokens(dict):
         if len(self) > self.most:
             self.clear()
         ids = self.vocab.pretoken(match.encode())
-        packed_ids = self[match] = struct.pack(f"<{len(ids)}i", *ids)
+        packed_ids = struct.pack(f"<{len(ids)}i", *ids)
+        if len(match) <= Chunks.LONG:
+            self[match] = packed_ids
         return packed_ids
 
 
@@ -176,18 +181,50 @@ def encode(
     return texts(df, id_col, text_col).mapInArrow(per_batch(make, schema), "doc_id bigint, ids array<int>")
 
 
+#: Ids that are decoded in one go, unless one text has more.
+DECODED = 1 << 20
+
+
+def runs_of(counts: list[int]) -> Iterator[tuple[int, int]]:
+    """(start, rows) for neighbouring rows with ``DECODED`` ids or fewer together, or for one row."""
+    start = n = 0
+    for row, count in enumerate(counts):
+        if row > start and n + count > DECODED:
+            yield start, row - start
+            start, n = row, 0
+        n += count
+    if len(counts) > start:
+        yield start, len(counts) - start
+
+
 def decode(df: DataFrame, vocabulary: str | None = None, ids_col: str = "ids") -> DataFrame:
-    """``df`` with a column ``decoded``, the bytes that its ids stand for; null ids give null."""
-    shared = df.sparkSession.sparkContext.broadcast({r: t for t, r in ranks_of(read_bytes(vocabulary or default_vocabulary())).items()})
+    """``df`` with a column ``decoded``, the bytes that its ids stand for; null ids give null.
+
+    The tokens are one array of bytes, from which those of many texts are taken at once; they
+    then lie one after the other, so a text's bytes are what stands between two offsets. An
+    empty list gives no bytes; an id outside the vocabulary, or null, fails the job.
+    """
+    ranks = ranks_of(read_bytes(vocabulary or default_vocabulary()))
+    by_id = {r: t for t, r in ranks.items()}
+    shared = packed(df.sparkSession, [by_id.get(r) for r in range(max(by_id) + 1)])
     place, names = df.columns.index(ids_col), [*df.columns, "decoded"]
     schema = T.StructType([*df.schema.fields, T.StructField("decoded", T.BinaryType())])
 
+    def joined(lists: pa.ListArray, tokens: pa.Array) -> pa.Array:
+        taken = tokens.take(lists.flatten())
+        if taken.null_count:
+            raise ValueError("an id that the vocabulary does not have")
+        _, offsets, content = taken.buffers()
+        at = np.frombuffer(offsets, np.int32)[: len(taken) + 1] if len(taken) else np.zeros(1, np.int32)
+        ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(lists), 0).to_pylist()])
+        raw = pa.BinaryArray.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(at[ends].tobytes()), content])
+        return pc.if_else(lists.is_valid(), raw, None) if lists.null_count else raw
+
     def run(batches):
-        tokens = shared.value
+        tokens = pa.array(pickle.loads(shared.value), pa.binary())
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                raw = [None if ids is None else b"".join(map(tokens.__getitem__, ids)) for ids in part.column(place).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.binary())], names=names)
+            for start, rows in runs_of(pc.fill_null(pc.list_value_length(batch.column(place)), 0).to_pylist()):
+                part = batch.slice(start, rows)
+                yield pa.RecordBatch.from_arrays([*part.columns, joined(part.column(place), tokens)], names=names)
 
     return df.mapInArrow(run, schema)
