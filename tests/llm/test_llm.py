@@ -10,6 +10,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -283,6 +285,22 @@ def test_toxicity_learns_and_scores(spark, docs, empty):
     assert toxicity.score(docs, nothing).select("score").distinct().count() == 1
 
 
+def test_long_labelled_texts_cost_only_themselves(spark, monkeypatch):
+    ids = sorted((i for i in range(900) if zlib.crc32(str(i).encode()) % 5), key=lambda i: xxhash.xxh64_intdigest(str(i)))
+    kinds = {i: int(k % 5 == 4) for k, i in enumerate(ids)}  # the first by hash are ordinary
+    rows = [(i, f"word{i % 7} other{i % 11} " * 9 + "zoggling" * t + str(i * i), t) for i, t in kinds.items()]
+    labels = spark.createDataFrame(list(kinds.items()), "doc_id bigint, toxic int")
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    long = (F.col("doc_id") == ids[0], F.expr(f"repeat('very long ', {toxicity.MOST_BYTES // 10 + 1})"))
+    model = toxicity.learn(df.withColumn("text", F.when(*long).otherwise(F.col("text"))), labels)
+    assert model == toxicity.learn(df.where(F.col("doc_id") != ids[0]), labels) and model.toxic
+    monkeypatch.setattr(toxicity, "MOST_BYTES", 100)
+    monkeypatch.setattr(toxicity, "LONG", 50)
+    assert toxicity.within_bytes([(i, 0, 90 if i in ids[:4] else 20) for i in ids[:9]] + [(ids[9], 1, 100)]) == ids[4:10]
+    with pytest.raises(ValueError):  # rather than a model that rejects all texts
+        toxicity.within_bytes([(1, 0, 101), (2, 1, 5)])
+
+
 def test_pipeline_stages_match_brute_force(spark, docs, empty, tmp_path):
     """Each stage's rows against a plain version on the rows of the stage before."""
     spark.createDataFrame([(i, 0, 1) for i in range(20)], "doc_id bigint, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
