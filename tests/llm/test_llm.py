@@ -129,6 +129,17 @@ def test_secrets():
     assert kinds == {0: 80, 2: 40, 3: 40}
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"])
+@pytest.mark.parametrize("length", [20, 24, 32, 64])
+def test_random_keys_are_no_identifiers(letters, length):
+    find = secrets.finder(vocabulary.read_bytes(secrets.default_vocabulary()), public_tokenizers.PATTERN)
+    rng = random.Random(length)
+    keys = ["".join(rng.choices(letters, k=length)) for _ in range(400)]
+    assert sum(find(f"key {k} end") != [] for k in keys) >= 0.97 * len(keys)
+    for name in ("_INCONSISTENT_MESSAGE_ATTRIBUTES", "ILLEGAL_MULTILINE_BASIC_STR_CHARS", "2024-01-02-03-04-05-06-7-8-9", "test_td_rdiv_na_scalar"):
+        assert find(name) == []
+
+
 def test_secret_rows(docs, empty):
     assert sorted(r.doc_id for r in secrets.find_secrets(docs).collect()) == sorted(i for i, _ in ROWS)
     assert secrets.find_secrets(empty).count() == 0

@@ -25,6 +25,9 @@ CANDIDATE = re.compile("[A-Za-z0-9+/_=-]{20,}")
 DIGEST = re.compile("(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})", re.IGNORECASE)
 #: Names and paths: words and short numbers, joined by signs or by a change of case.
 IDENTIFIER = re.compile("[-_/+=]*+(?:(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+|[0-9]{1,10}+)[-_/+=]*+)++")
+LETTERS = re.compile("[A-Z]?[a-z]+|[A-Z]+")
+#: Characters to a token that the words of an identifier have at least; drawn letters have some 1.9.
+CHARS_A_NAME_TOKEN = 2.3
 #: Fewer characters than this to a token: English has some 4, base64 of random bytes some 1.4.
 CHARS_A_TOKEN = 2.0
 #: A candidate is tokenized in slices of this length, so that a very long one costs its length.
@@ -39,6 +42,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def is_identifier(word: str, tokens: Callable[[str], int]) -> bool:
+    """Words and numbers by shape, and words by what their letters cost, too: in lower case, as
+    upper case is dear in any text, and with a space before where that is cheaper."""
+    if not IDENTIFIER.fullmatch(word):
+        return False
+    parts = [m[0][at : at + SLICE].lower() for m in LETTERS.finditer(word) for at in range(0, len(m[0]), SLICE)]
+    return sum(map(len, parts)) >= CHARS_A_NAME_TOKEN * sum(min(tokens(p), tokens(f" {p}")) for p in parts)
+
+
 def random_spans(text: str, base: list[tuple[int, int, int]], tokens: Callable[[str], int]) -> list[tuple[int, int, int]]:
     """(start, kind, end) of random strings that no span of ``base`` touches."""
     found = []
@@ -48,9 +60,11 @@ def random_spans(text: str, base: list[tuple[int, int, int]], tokens: Callable[[
         s, e = m.span()
         word = m[0]
         before = bisect_left(starts, e)
-        if (before and reach[before - 1] > s) or DIGEST.fullmatch(word) or IDENTIFIER.fullmatch(word):
+        if (before and reach[before - 1] > s) or DIGEST.fullmatch(word):
+            continue
+        if len(word) >= CHARS_A_TOKEN * sum(tokens(word[at : at + SLICE]) for at in range(0, len(word), SLICE)):
             continue
-        if len(word) < CHARS_A_TOKEN * sum(tokens(word[at : at + SLICE]) for at in range(0, len(word), SLICE)):
+        if not is_identifier(word, tokens):
             found.append((s, 3, e))
     return found
 
@@ -82,7 +96,7 @@ def find_secrets(
 
     ``assign``, ``access`` and ``hex`` are fixed forms. ``random`` is a string of 20 or more
     characters with fewer than ``CHARS_A_TOKEN`` characters to a token of the vocabulary, that
-    is no digest, no identifier and touches no fixed form.
+    is no digest, no identifier (words and numbers, of token-efficient words) and touches no fixed form.
 
     Nulls: a null text counts as empty and has no spans; a null doc_id stays null. Texts are
     scanned whole. Repeated rows come out as often as they come in, an empty table gives no
