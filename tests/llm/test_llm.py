@@ -140,6 +140,17 @@ def test_random_keys_are_no_identifiers(letters, length):
         assert find(name) == []
 
 
+def test_random_parts_beside_fixed_forms(spark):
+    find = secrets.finder(vocabulary.read_bytes(secrets.default_vocabulary()), public_tokenizers.PATTERN)
+    key, run = "live_4eC39HqLyjWDarjtT1zdp7dc-", "0123456789abcdef" * 2
+    assert find(key + run) == [(0, 3, 30), (30, 2, 62)]
+    text = f"é {run}-{key}{run}Q short{run} token={run}{key}"
+    got = find(text)
+    assert [(k, text[s:e]) for s, k, e in got if k == 3] == [(3, f"-{key}")]
+    masked = secrets.redact(spark.createDataFrame([(1, key + run), (2, text)], "doc_id bigint, text string")).collect()
+    assert not any(find(r.text) or "4eC39" in r.text for r in masked)
+
+
 def test_secret_rows(docs, empty):
     assert sorted(r.doc_id for r in secrets.find_secrets(docs).collect()) == sorted(i for i, _ in ROWS)
     assert secrets.find_secrets(empty).count() == 0

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
-from collections.abc import Callable
-from itertools import accumulate
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import public_tokenizers
 import pyarrow as pa
@@ -20,7 +19,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{32,}")  # a run of the class is taken whole, so this drops the shorter ones
 #: Strings that might be random.
-CANDIDATE = re.compile("[A-Za-z0-9+/_=-]{20,}")
+SHORTEST = 20
+CANDIDATE = re.compile("[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
 #: Hexadecimal digests of the usual lengths, and UUIDs.
 DIGEST = re.compile("(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})", re.IGNORECASE)
 #: Names and paths: words and short numbers, joined by signs or by a change of case.
@@ -51,21 +51,37 @@ def is_identifier(word: str, tokens: Callable[[str], int]) -> bool:
     return sum(map(len, parts)) >= CHARS_A_NAME_TOKEN * sum(min(tokens(p), tokens(f" {p}")) for p in parts)
 
 
+def outside(s: int, e: int, apart: list[list[int]], ends: list[int]) -> Iterator[tuple[int, int]]:
+    """What is left of [s, e) between the spans ``apart``, which are in order and do not overlap."""
+    k = bisect_right(ends, s)
+    while k < len(apart) and apart[k][0] < e:
+        if apart[k][0] > s:
+            yield s, apart[k][0]
+        s = apart[k][1]
+        k += 1
+    if s < e:
+        yield s, e
+
+
 def random_spans(text: str, base: list[tuple[int, int, int]], tokens: Callable[[str], int]) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of random strings that no span of ``base`` touches."""
-    found = []
-    starts = [a for a, *_ in base]
-    reach = list(accumulate((b for *_, b in base), max))  # how far the spans up to here go
+    """(start, kind, end) of random strings outside of the spans of ``base``: what is left of a
+    candidate on either side of such a span is tried by itself."""
+    found, apart = [], []
+    for s, _, e in base:
+        if apart and s < apart[-1][1]:
+            apart[-1][1] = max(apart[-1][1], e)
+        else:
+            apart.append([s, e])
+    ends = [e for _, e in apart]
     for m in CANDIDATE.finditer(text):
-        s, e = m.span()
-        word = m[0]
-        before = bisect_left(starts, e)
-        if (before and reach[before - 1] > s) or DIGEST.fullmatch(word):
-            continue
-        if len(word) >= CHARS_A_TOKEN * sum(tokens(word[at : at + SLICE]) for at in range(0, len(word), SLICE)):
-            continue
-        if not is_identifier(word, tokens):
-            found.append((s, 3, e))
+        for s, e in outside(*m.span(), apart, ends):
+            word = text[s:e]
+            if len(word) < SHORTEST or DIGEST.fullmatch(word):
+                continue
+            if len(word) >= CHARS_A_TOKEN * sum(tokens(word[at : at + SLICE]) for at in range(0, len(word), SLICE)):
+                continue
+            if not is_identifier(word, tokens):
+                found.append((s, 3, e))
     return found
 
 
@@ -96,7 +112,8 @@ def find_secrets(
 
     ``assign``, ``access`` and ``hex`` are fixed forms. ``random`` is a string of 20 or more
     characters with fewer than ``CHARS_A_TOKEN`` characters to a token of the vocabulary, that
-    is no digest, no identifier (words and numbers, of token-efficient words) and touches no fixed form.
+    is no digest, no identifier (words and numbers, of token-efficient words) and lies in no fixed form; what stands beside one in
+    the same run of characters counts by itself.
 
     Nulls: a null text counts as empty and has no spans; a null doc_id stays null. Texts are
     scanned whole. Repeated rows come out as often as they come in, an empty table gives no
