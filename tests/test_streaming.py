@@ -4,10 +4,12 @@ from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
+from oracle import normal, run_sql
 from pyspark.sql import functions as F
 
+from tidemark.plans.streams import QUERIES
 from tidemark.session import shared_dir
-from tidemark.sources import closable_stream, stream
+from tidemark.sources import closable_stream, delay_for_all, stream, table, tables
 from tidemark.streaming import (
     first_within,
     matched_within,
@@ -173,3 +175,27 @@ def test_with_lookup(spark, feed):
         (1, "one"): 30, (2, "two"): 1, (7, None): 1, (9, None): 1,
     }
     assert out.columns == ["event_id", "ts", "user_id", "event_type", "name"]
+
+
+def test_delay_by_how_far_files_go_back(spark, feed):
+    assert delay_for_all(spark, feed.add((0, None, "a"), (90, 1, "a")).dir, "events") == "600000 milliseconds"
+    assert delay_for_all(spark, feed.add((85, 1, "a"), (300, 1, "a")).dir, "events") == "600000 milliseconds"
+    assert delay_for_all(spark, feed.add((400, 1, "a")).add((270, 1, "a")).dir, "events") == f"{130 * 60_000 + 1} milliseconds"
+
+
+@pytest.fixture(scope="module")
+def unordered(spark, data_dir):
+    """The events in files of which each spans the whole period."""
+    folder = shared_dir(spark, "unordered")
+    for k in range(4):
+        part = table(spark, data_dir, "events").where(F.pmod(F.hash("event_id"), F.lit(4)) == k)
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"stream_events_with_segment", "stream_running_counts"}))
+def test_queries_lose_no_row_of_unordered_files(spark, data_dir, unordered, monkeypatch, name):
+    monkeypatch.setattr(tables, "BATCH_BYTES", 1)  # a micro-batch for each file
+    got = QUERIES[name](spark, unordered)
+    names, _, expected = run_sql(QUERIES[name].sql, data_dir)
+    assert normal(got.columns, [tuple(r) for r in got.collect()]) == normal(names, expected)

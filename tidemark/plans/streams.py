@@ -1,5 +1,6 @@
-"""The event queries that run as streams. Each works through the whole table and closes its
-stream, so that the last windows and sessions come out as well."""
+"""The event queries that run as streams. Each works through the whole table, with a delay
+by which no row is late in whatever order the files are, and closes its stream, so that the last
+windows and sessions come out as well."""
 
 from __future__ import annotations
 
@@ -15,7 +16,7 @@ from tidemark.plans.events import (
     SQL_SESSIONS,
 )
 from tidemark.plans.registry import Query
-from tidemark.sources import closable_stream, stream, table
+from tidemark.sources import closable_stream, delay_for_all, stream, table
 from tidemark.streaming import (
     first_within,
     matched_within,
@@ -35,6 +36,10 @@ def _events(spark: SparkSession, data_dir: str, *columns: str) -> DataFrame:
     return stream(spark, data_dir, "events").select(*columns)
 
 
+def _delay(spark: SparkSession, data_dir: str) -> str:
+    return delay_for_all(spark, data_dir, "events")
+
+
 def _plain(df: DataFrame, *times: str) -> DataFrame:
     """Times as the table holds them, without a zone, and money as doubles."""
     out = df.withColumns({t: F.col(t).cast("timestamp_ntz") for t in times})
@@ -43,7 +48,7 @@ def _plain(df: DataFrame, *times: str) -> DataFrame:
 
 def stream_hourly_counts(spark: SparkSession, data_dir: str) -> DataFrame:
     events, close = closable_stream(spark, data_dir, "events", ["ts", "event_type", "value"])
-    sums = window_sums(events, ["event_type"], "ts", "1 hour", _sums())
+    sums = window_sums(events, ["event_type"], "ts", "1 hour", _sums(), delay=_delay(spark, data_dir))
     return _plain(run_to_table(spark, sums, "hourly-counts", close=close), "window_start", "window_end")
 
 
@@ -52,20 +57,20 @@ STREAM_HOURLY_COUNTS_SQL = f"select *, window_start + interval 1 hour as window_
 
 def stream_sliding_counts(spark: SparkSession, data_dir: str) -> DataFrame:
     events, close = closable_stream(spark, data_dir, "events", ["ts", "value"])
-    sums = window_sums(events, [], "ts", "2 hours", _sums(), hop="1 hour")
+    sums = window_sums(events, [], "ts", "2 hours", _sums(), hop="1 hour", delay=_delay(spark, data_dir))
     return _plain(run_to_table(spark, sums, "sliding-counts", close=close), "window_start", "window_end")
 
 
 def stream_sessions(spark: SparkSession, data_dir: str) -> DataFrame:
     events, close = closable_stream(spark, data_dir, "events", ["user_id", "ts", "value"])
-    sums = session_sums(events, "user_id", "ts", "30 minutes", _sums())
+    sums = session_sums(events, "user_id", "ts", "30 minutes", _sums(), delay=_delay(spark, data_dir))
     return _plain(run_to_table(spark, sums, "sessions", close=close), "session_start", "session_end")
 
 
 def stream_first_events(spark: SparkSession, data_dir: str) -> DataFrame:
     """Events that follow no other of the same user and type within ten minutes."""
     events, close = closable_stream(spark, data_dir, "events", ["event_id", "ts", "user_id", "event_type"])
-    out = first_within(events, ["user_id", "event_type"], "ts", "event_id", "10 minutes")
+    out = first_within(events, ["user_id", "event_type"], "ts", "event_id", "10 minutes", _delay(spark, data_dir))
     return _plain(run_to_table(spark, out, "first-events", close=close), "ts")
 
 
@@ -81,6 +86,7 @@ def stream_purchases_soon_after_view(spark: SparkSession, data_dir: str) -> Data
         "ts",
         "event_id",
         "2 hours",
+        _delay(spark, data_dir),
     )
     return _plain(run_to_table(spark, out, "soon-after-view"), "ts")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,18 +18,24 @@ def table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{data_dir}/{name}.parquet")
 
 
+#: About how many bytes of files a micro-batch takes.
+BATCH_BYTES = 1 << 30
+
+
 def stream(
     spark: SparkSession,
     data_dir: str,
     name: str,
     event_time: str = "ts",
     max_files: int | None = None,
-    max_bytes: int = 1 << 30,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """The same table as a stream, by files in the order in which they were written.
 
-    A micro-batch takes files of some ``max_bytes``, or ``max_files`` files if given, so that
-    state is dropped as the stream goes on and does not hold the whole table.
+    A micro-batch takes files of some ``max_bytes`` (``BATCH_BYTES`` if not given), or
+    ``max_files`` files if given, so that state is dropped as the stream goes on and does not
+    hold the whole table. Rows are late if they lie further behind those of earlier
+    micro-batches than the watermark's delay; ``delay_for_all`` is one that leaves none out.
 
     Watermarks need a ``timestamp``, and the files hold ``timestamp_ntz``, so the event
     time is cast. The bracket makes the path a pattern, which the file source accepts for
@@ -39,13 +46,43 @@ def stream(
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     else:
-        reader = reader.option("maxBytesPerTrigger", str(max_bytes))
+        reader = reader.option("maxBytesPerTrigger", str(max_bytes or BATCH_BYTES))
     rows = reader.parquet(f"{data_dir}/{name}[.]parquet")
     if isinstance(schema[event_time].dataType, T.TimestampNTZType):
         rows = rows.withColumn(event_time, F.col(event_time).cast("timestamp"))
     return rows
 
 
+def delay_for_all(
+    spark: SparkSession, data_dir: str, name: str, event_time: str = "ts", least: datetime.timedelta = datetime.timedelta(minutes=10)
+) -> str:
+    """A delay for the watermark with which no row of the table is late, however its files are
+    ordered and fall into micro-batches: ``least``, or by how much a file goes back behind one
+    written before it or in the same millisecond.
+
+    Files in the order of time need no more than ``least``. Where each file spans the whole
+    period, so does the delay, and state is kept until the end. One row a file is collected;
+    the driver lists the files for the stream anyway.
+    """
+    time = F.unix_micros(F.col(event_time).cast("timestamp"))
+    rows = table(spark, data_dir, name).select(
+        "_metadata.file_path", F.col("_metadata.file_modification_time").alias("written"), time.alias("time")
+    )
+    files = rows.groupBy("file_path", "written").agg(F.min("time").alias("first"), F.max("time").alias("last"))
+    back, latest = 0, None
+    found = sorted(files.where("first is not null").select("written", "first", "last").collect())
+    for _, group in itertools.groupby(found, key=lambda f: f["written"]):
+        together = list(group)
+        if len(together) > 1:
+            latest = max(f["last"] for f in together) if latest is None else max(latest, *(f["last"] for f in together))
+        for f in together:
+            latest = f["first"] if latest is None else latest
+            back = max(back, latest - f["first"])
+        latest = max(latest, *(f["last"] for f in together))
+    # watermarks are in milliseconds
+    return f"{max(back // 1000 + 1, least // datetime.timedelta(milliseconds=1))} milliseconds"
+
+
 #: Later than any event; windows around it never end.
 END_OF_TIME = datetime.datetime(2262, 1, 1)
 
