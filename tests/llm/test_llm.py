@@ -271,6 +271,17 @@ def test_tiff_pages(spark, compression, predictor, tile, order):
     assert [r.error is None for r in got if r.doc_id == 4].count(False) == 1
 
 
+def test_blank_page_in_one_lzw_strip():
+    page = np.zeros((3071, 2400, 1), np.uint8)
+    data = tiff.write_tiff([page], tiff.LZW, strip_bytes=1 << 30)
+    assert page.size > 1200 * len(data)
+    (_, fields), = tiff.directories(data)
+    assert (tiff.image_of(data, fields) == page).all()
+    fields[tiff.HEIGHT] = fields[tiff.ROWS_PER_STRIP] = [3 * 3071]
+    with pytest.raises(tiff.BadTiff, match="larger"):
+        tiff.image_of(data, fields)
+
+
 def test_texts_as_images(docs, empty):
     got = tiff.read_pages(tiff.text_images(docs), carry=("n_bytes",)).collect()
     full = lambda t: t.encode().ljust(max(1, -(-len(t.encode()) // 192)) * 192)

@@ -19,6 +19,9 @@ STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR = 273, 27
 TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 322, 323, 324, 325
 TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
+#: Bytes that a stored byte can stand for at most: of LZW's codes, of 9 bits at least and 12 in a
+#: full table, one stands for under 3,840 bytes. Deflate has 1,032; the other forms have less.
+MOST_PER_BYTE = {LZW: 2600}
 
 
 class BadTiff(ValueError):
@@ -254,8 +257,8 @@ def image_of(data: bytes, fields: dict[int, list[int]]) -> np.ndarray:
     places, sizes = fields.get(at_, []), fields.get(size_, [])
     if min(len(places), len(sizes)) < across * down * planes:
         raise BadTiff("strips or tiles are missing")
-    # a field may claim any size; no form packs a byte into less than a thousandth of one
-    if width * height * samples > max(1 << 16, 1100 * len(data)):
+    # a field may claim any size
+    if width * height * samples > max(1 << 16, MOST_PER_BYTE.get(compression, 1100) * len(data)):
         raise BadTiff("the image is larger than its data can be")
     out = np.empty((height, width, samples), np.uint8)
     for k in range(across * down * planes):
