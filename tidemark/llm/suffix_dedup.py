@@ -1,4 +1,4 @@
-"""Passages that texts share, from sparse suffix arrays over content-selected positions."""
+"""Passages that texts share, from hashes of fixed length at content-selected positions."""
 
 from __future__ import annotations
 
@@ -41,9 +41,9 @@ def shared_passages(
     A word is repeated if it lies in ``passage`` words in a row that also start anywhere else,
     in the same text or another. Any run of that many words holds the position selected among
     its first grams, and every copy selects the same one. So only suffixes at selected
-    positions are kept. They are cut at the length that any repeat must share from there on,
-    sorted, and neighbours compared; where two agree, the match is extended to the left and to
-    the right: each whole passage around the position is compared in the same way. See
+    positions are kept, as hashes of the words that any repeat must share from there on. The
+    hashes are sorted and neighbours compared; where two agree, the whole passages around the
+    position are compared in the same way. No suffix is ordered or extended word by word. See
     ``exchange`` for how sorting and comparing are spread.
 
     Nulls: a null text has no words; a null id is one more id. Texts of fewer than ``passage``
