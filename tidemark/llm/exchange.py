@@ -19,6 +19,14 @@ from pyspark.sql import functions as F
 
 CHUNK_BYTES = 8 << 20
 BUCKET_KEYS = 4 << 20
+#: Chunks and buckets get a task each up to so many tasks, beyond that a few share one.
+MOST_TASKS = 1 << 16
+
+
+def dealt(df: DataFrame, by: str, groups: int) -> DataFrame:
+    """``df`` gathered by the column ``by``, which has ``groups`` values: the number of tasks
+    grows with the input, whatever the session's number of shuffle partitions."""
+    return df.repartition(min(groups, MOST_TASKS), by)
 
 
 def chunked(df: DataFrame, bytes_a_chunk: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
@@ -26,7 +34,7 @@ def chunked(df: DataFrame, bytes_a_chunk: int = CHUNK_BYTES) -> tuple[DataFrame,
     total = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, math.ceil(total / bytes_a_chunk))
     at = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(chunks)).cast("int")
-    return df.withColumn("chunk", at).repartition("chunk"), total
+    return dealt(df.withColumn("chunk", at), "chunk", chunks), total
 
 
 def buckets_for(keys: int) -> int:
@@ -86,7 +94,7 @@ def seen_elsewhere(
         sent = groups.applyInArrow(send, sent_type)
     else:
         sent = groups.cogroup(marks.groupBy("chunk")).applyInArrow(send_again, sent_type)
-    return sent.groupBy("bucket").applyInArrow(compare, "chunk int, bucket int, marks binary")
+    return dealt(sent, "bucket", buckets).groupBy("bucket").applyInArrow(compare, "chunk int, bucket int, marks binary")
 
 
 def marked(keys: np.ndarray, buckets: int, marks: pa.Table) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, packing, quality, secrets, sharding, simhash, substring_dedup, suffix_dedup, tiff, toxicity
+from tidemark.llm import bpe, collocations, line_dedup, packing, periodic_runs, quality, secrets, sharding, simhash, substring_dedup, suffix_dedup, tiff, toxicity
 from tidemark.llm.common import documents
 from tidemark.plans.registry import Query
 
@@ -83,6 +83,30 @@ def op10_simhash_near_dedup(spark: SparkSession, data_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, data_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, data_dir))
+
+
+def op12_line_dedup(spark: SparkSession, data_dir: str) -> DataFrame:
+    return line_dedup.drop_common_lines(documents(spark, data_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Of runs r (start, length, period), the one of most periods: first in this order, compared in whole numbers.
+BEST_RUN = """reduce(runs, cast(null as struct<start: bigint, length: bigint, period: bigint>), (b, r) -> case
+    when b is null or r.length * b.period > b.length * r.period
+        or (r.length * b.period = b.length * r.period and (r.start, r.period) < (b.start, b.period)) then r else b end)"""
+
+
+def op13_periodic_runs(spark: SparkSession, data_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(documents(spark, data_dir), plant=True)
+    runs = F.expr("transform(starts, (s, i) -> struct(cast(s as bigint) as start, cast(lengths[i] as bigint) as length, cast(periods[i] as bigint) as period))")
+    written = F.expr("array_join(transform(runs, r -> concat_ws(',', r.start, r.length, r.period) || '\\n'), '')")
+    return found.select("doc_id", runs.alias("runs"), "collapsed").select("doc_id", "collapsed", "runs", F.expr(BEST_RUN).alias("best")).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(written, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def repeated_words_sql(width: int) -> str:
     """Tables for DuckDB: ``words`` (r, doc_id, w) per document and ``gone`` (r, p), the places
     from 1 of words in a window of ``width`` words that starts elsewhere too."""
@@ -114,12 +138,52 @@ KEPT_WORDS_SQL = repeated_words_sql(substring_dedup.WIDTH) + """, places as (
     select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
     from words left join kept using (r)"""
 
-SQL = {"op5_suffix_array_dedup": PASSAGES_SQL, "op8_substring_dedup": KEPT_WORDS_SQL}
+LINES_SQL = r"""
+    with lines as (
+        select r, doc_id, l[place] as line, place, translate(trim(l[place], E' \t\n\x0b\f\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+        from (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), E'\n') as l from documents),
+            unnest(range(1, len(l) + 1)) as u(place)
+    ), common as (
+        select key, max(doc_id) as largest from lines where length(key) >= 40 group by key having count(distinct r) >= 5
+    )
+    select r.doc_id, count(*) as n_lines, count(*) filter (key is not null and largest is distinct from r.doc_id) as n_dropped,
+        sha256(coalesce(string_agg(line, E'\n' order by place) filter (key is null or largest is not distinct from r.doc_id), '')) as kept_sha256
+    from (select lines.r, lines.doc_id, line, place, common.key, largest from lines left join common using (key)) as r
+    group by r.r, r.doc_id"""
+
+PHRASES_SQL = r"""
+    with pieces as (
+        select coalesce(lang, 'und') as lang, regexp_extract_all(u.piece, '[^\x20\x09]+') as w
+        from (select lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') as p from documents),
+            unnest(p) as u(piece)
+    ), totals as (
+        select lang, sum(len(w))::hugeint as n from pieces group by lang
+    ), phrases as (
+        select lang, size, array_to_string(w[s:s + size - 1], ' ') as phrase, count(*)::hugeint as f
+        from pieces, unnest(range(1, 6)) as k(size), unnest(range(1, len(w) - size + 2)) as u(s) group by all having count(*) >= 100
+    ), candidates as (
+        select lang, size, phrase, f as a, string_split(phrase, ' ') as w from phrases where size > 1
+    ), kept as (
+        select * from candidates c where not exists (
+            select 1 from candidates d where d.lang = c.lang and d.size > c.size and contains(' ' || d.phrase || ' ', ' ' || c.phrase || ' ') and 100 * d.a >= 100 * c.a)
+    ), cuts as (
+        select c.lang, c.phrase, c.a, k, x.f as l, y.f as r, n, 1000 * c.a * n // (x.f * y.f) as score
+        from kept c join totals using (lang), unnest(range(1, c.size)) as u(k)
+        join phrases x on x.lang = c.lang and x.phrase = array_to_string(c.w[1:k], ' ')
+        join phrases y on y.lang = c.lang and y.phrase = array_to_string(c.w[k + 1:c.size], ' ')
+    ), lowest as (
+        select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1
+    ), ranked as (
+        select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from lowest
+    )
+    select lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score from ranked where rank <= 2000"""
+
+SQL = {"op11_collocations": PHRASES_SQL, "op12_line_dedup": LINES_SQL, "op5_suffix_array_dedup": PASSAGES_SQL, "op8_substring_dedup": KEPT_WORDS_SQL}
 
 QUERIES: dict[str, Query] = {
     f.__name__: Query(f, SQL.get(f.__name__))
     for f in (
         op1_bpe, op2_secret_scan, op3_toxicity, op4_quality_rules, op5_suffix_array_dedup, op6_tiff,
-        op7_best_fit_packing, op8_substring_dedup, op9_sharding, op10_simhash_near_dedup,
+        op7_best_fit_packing, op8_substring_dedup, op9_sharding, op10_simhash_near_dedup, op11_collocations, op12_line_dedup, op13_periodic_runs,
     )
 }
