@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import events, relational, streams, user_functions
+from tidemark.plans import events, relational, streams, texts, user_functions, vectors
 from tidemark.plans.registry import Query
 
 QUERIES: dict[str, Query] = {
@@ -10,6 +10,8 @@ QUERIES: dict[str, Query] = {
     **events.QUERIES,
     **user_functions.QUERIES,
     **streams.QUERIES,
+    **texts.QUERIES,
+    **vectors.QUERIES,
 }
 
 __all__ = ["QUERIES", "Query"]
