@@ -67,7 +67,9 @@ def statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return (F.col(a) / F.greatest(F.col(b), F.lit(1))).alias(a)
 
     shares = [share("word_chars", "n_words").alias("mean_chars"), share("n_symbols", "word_chars").alias("symbol_share"), share("n_dup_lines", "n_lines").alias("dup_line_share"), share("n_repeat_words", "n_words").alias("repeat_share"), share("upper", "word_chars").alias("upper_share"), share("digits", "word_chars").alias("digit_share"), share("n_distinct", "n_words").alias("distinct_share"), share("signs", "word_chars").alias("sign_share")]
-    return t.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *shares)
+    found = t.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *shares)
+    # a filter on what follows would otherwise be pushed below and work everything out anew in each of its terms
+    return found.select(F.inline(F.array(F.struct("*"))))
 
 
 @dataclass(frozen=True)
@@ -170,9 +172,10 @@ def cover(rows: list[tuple[dict[str, float], int]], precision: float = 0.9, most
 
 def learn_rules(df: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> list[Rule]:
     """Rules from the rows of ``df`` that ``labels`` (doc_id, quality) marks: their statistics,
-    of ``most`` rows at most, are what the driver sees."""
+    of ``most`` rows at most, are what the driver sees. An id that ``labels`` marks both ways is left out."""
     marked = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    marked = marked.where("doc_id is not null and quality in (0, 1)").dropDuplicates(["doc_id"])
+    marked = marked.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
+    marked = marked.where("quality = other").drop("other")
     some = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     picked = texts(df, id_col, text_col).join(F.broadcast(some), "doc_id")
     rows = statistics(picked).join(F.broadcast(some), "doc_id").orderBy(F.xxhash64("doc_id"), *TESTED).limit(most).collect()

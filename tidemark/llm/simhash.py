@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import WORD, keep, per_batch, texts
 from tidemark.llm.components import components
@@ -50,6 +51,20 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return texts(df, id_col, text_col).mapInArrow(per_batch(make, schema), "doc_id bigint, fp bigint")
 
 
+def with_fingerprint(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """``df`` with a column ``fp``, all else as it is."""
+    place, names, kind = df.columns.index(text_col), [*df.columns, "fp"], T.StructType([*df.schema.fields, T.StructField("fp", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                prints = np.fromiter((fingerprint(t or "") for t in part.column(place).to_pylist()), np.uint64, part.num_rows)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(prints.view(np.int64))], names=names)
+
+    return df.mapInArrow(run, kind)
+
+
 def blanked(part: Column, width: int, tag: int) -> Column:
     """The keys of a part of ``width`` bits, at most 32: for each place the part without that
     bit, under the tag and the place."""
@@ -162,7 +177,8 @@ def link(names: list[str], most: int | None, bits: int):
 
 def near_copies(df: DataFrame, bits: int = BITS, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``df``: doc_id, fp (its 64-bit fingerprint), component_id (the
-    smallest doc_id that links lead to, its own included).
+    smallest doc_id that links lead to, its own included), root (one fingerprint of the component,
+    which tells components apart also where they share an id).
 
     Fingerprints link at ``bits`` or fewer differing bits, 3 at most. Equal fingerprints count
     once. Each is cut into two parts, of which one differs by one bit at most; its keys are
@@ -189,7 +205,7 @@ def near_copies(df: DataFrame, bits: int = BITS, group: int = GROUP, id_col: str
     roots = components(found.where("k1 is null").select("a", "b").unionByName(more.select("a", "b")))
     rooted = once.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.select("fp", "root").join(ids, "root"), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(rooted.select("fp", "root").join(ids, "root"), "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def brute_force(rows: list[tuple[int, str | None]], bits: int = BITS) -> list[tuple[int, str, int]]:

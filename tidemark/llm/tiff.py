@@ -202,8 +202,9 @@ def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: i
     return bytes(out)
 
 
-def directories(data: bytes) -> Iterator[tuple[str, dict[int, list[int]]]]:
-    """The fields of each image directory, one after the other."""
+def directories(data: bytes) -> Iterator[tuple[str, dict[int, list[int]] | BadTiff]]:
+    """The fields of each image directory, one after the other; for one whose fields lead outside
+    the file, what is wrong."""
     order = {b"II*\0": "<", b"MM\0*": ">"}.get(bytes(data[:4]))
     if order is None:
         raise BadTiff("no TIFF")
@@ -215,18 +216,24 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, list[int]]]]:
                 raise BadTiff("directories form a ring")
             seen.add(at)
             (n,) = struct.unpack_from(order + "H", data, at)
-            fields = {}
-            for i in range(n):
-                tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
-                if kind not in TYPES or kind == 2:
-                    continue
-                size = struct.calcsize("=" + TYPES[kind])
-                place = at + 10 + 12 * i
-                if size * count > 4:
-                    (place,) = struct.unpack_from(order + "I", data, place)
-                fields[tag] = list(struct.unpack_from(f"{order}{count}{TYPES[kind]}", data, place))
+            fields: dict[int, list[int]] | BadTiff = {}
+            try:
+                for i in range(n):
+                    tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
+                    if kind not in TYPES or kind == 2:
+                        continue
+                    size = struct.calcsize("=" + TYPES[kind])
+                    place = at + 10 + 12 * i
+                    if size * count > 4:
+                        (place,) = struct.unpack_from(order + "I", data, place)
+                    fields[tag] = list(struct.unpack_from(f"{order}{count}{TYPES[kind]}", data, place))
+            except struct.error:
+                fields = BadTiff("a directory is cut short")
             yield order, fields
-            (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
+            end = at + 2 + 12 * n
+            if isinstance(fields, BadTiff) and end + 4 > len(data):
+                return  # said once
+            (at,) = struct.unpack_from(order + "I", data, end)
     except struct.error:
         raise BadTiff("a directory is cut short") from None
 
@@ -235,12 +242,13 @@ def image_of(data: bytes, fields: dict[int, list[int]]) -> np.ndarray:
     """A directory's samples as (height, width, samples)."""
 
     def one(tag: int, default: int | None = None) -> int:
-        if tag not in fields and default is None:
-            raise BadTiff(f"field {tag} is missing")
-        return fields.get(tag, [default])[0]
+        value = (fields.get(tag) or [default])[0]
+        if not isinstance(value, int) or not 0 < value < 1 << 31:
+            raise BadTiff(f"field {tag} is missing or out of bounds")
+        return value
 
     width, height, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
-    if set(fields.get(BITS, [1])) != {8}:
+    if set(fields.get(BITS) or [1]) != {8}:
         raise BadTiff("only 8-bit samples are read")
     compression, predictor, planar = one(COMPRESSION, 1), one(PREDICTOR, 1), one(PLANAR, 1)
     if predictor not in (1, 2):
@@ -249,16 +257,18 @@ def image_of(data: bytes, fields: dict[int, list[int]]) -> np.ndarray:
     if tiled:
         block_w, block_h, at_, size_ = one(TILE_WIDTH), one(TILE_HEIGHT), TILE_OFFSETS, TILE_BYTES
     else:
-        block_w, block_h, at_, size_ = width, min(one(ROWS_PER_STRIP, height), height), STRIP_OFFSETS, STRIP_BYTES
-    if not (width and height and samples and block_w and block_h):
-        raise BadTiff("an empty image")
+        # all ones stands for one strip
+        per_strip = height if (fields.get(ROWS_PER_STRIP) or [0])[0] == 0xFFFFFFFF else one(ROWS_PER_STRIP, height)
+        block_w, block_h, at_, size_ = width, min(per_strip, height), STRIP_OFFSETS, STRIP_BYTES
     across, down, planes = -(-width // block_w), -(-height // block_h), samples if planar == 2 else 1
     depth = 1 if planar == 2 else samples
     places, sizes = fields.get(at_, []), fields.get(size_, [])
     if min(len(places), len(sizes)) < across * down * planes:
         raise BadTiff("strips or tiles are missing")
+    if any(not isinstance(x, int) or x < 0 for x in (*places, *sizes)):
+        raise BadTiff("strips or tiles lie outside the file")
     # a field may claim any size
-    if width * height * samples > max(1 << 16, MOST_PER_BYTE.get(compression, 1100) * len(data)):
+    if max(width * height * samples, block_w * block_h * depth) > max(1 << 16, MOST_PER_BYTE.get(compression, 1100) * len(data)):
         raise BadTiff("the image is larger than its data can be")
     out = np.empty((height, width, samples), np.uint8)
     for k in range(across * down * planes):
@@ -295,8 +305,9 @@ def read_pages(df: DataFrame, id_col: str = "doc_id", data_col: str = "media", c
     feature, error, and the columns of ``df`` named in ``carry``, which may not have these names.
 
     Strips and tiles, plain, PackBits, LZW or deflate, with or without the horizontal
-    predictor, of either byte order, are read. A null, a value that is no TIFF and a page that cannot be
-    read give one row with ``error`` set and no samples; pages read before it stay. A null id
+    predictor, of either byte order, are read. A null, a value that is no TIFF, each page that cannot be
+    read and a chain of pages that leads outside the file give one row with ``error`` set and no
+    samples; the pages before and after it stay. A null id
     stays null, repeated rows come out as often as they come in, and an empty table gives no
     rows. Other columns of ``df`` are not read. An image is worked through by one task.
     """
@@ -309,8 +320,14 @@ def read_pages(df: DataFrame, id_col: str = "doc_id", data_col: str = "media", c
             if data is None:
                 raise BadTiff("null")
             for _, fields in directories(data):
-                image = image_of(data, fields)
-                yield page, image.shape[1], image.shape[0], image.shape[2], fields.get(COMPRESSION, [1])[0], image.tobytes(), feature(image), None
+                try:
+                    if isinstance(fields, BadTiff):
+                        raise fields
+                    image = image_of(data, fields)
+                except BadTiff as e:
+                    yield page, None, None, None, None, None, None, str(e)
+                else:
+                    yield page, image.shape[1], image.shape[0], image.shape[2], (fields.get(COMPRESSION) or [1])[0], image.tobytes(), feature(image), None
                 page += 1
             if not page:
                 raise BadTiff("no page")

@@ -278,6 +278,8 @@ def without_toxic(df: DataFrame, model: Model, text_col: str = "text") -> DataFr
     def run(batches):
         of = scorer(pickle.loads(shared.value))
         for batch in batches:
-            yield batch.filter(pa.array([of(t or "") < 0.5 for t in batch.column(place).to_pylist()], pa.bool_()))
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                yield part.filter(pa.array([of(t or "") < 0.5 for t in part.column(place).to_pylist()], pa.bool_()))
 
     return df.mapInArrow(run, schema)
