@@ -3,8 +3,9 @@ that texts share out, secrets masked, and what is left packed into sequences.
 
 Each stage works on all that the one before it kept. All but the last return the columns of
 ``documents``, whatever else the table holds. Rows without a doc_id cannot be named by a group
-and stay; of rows that share a doc_id the least one stays, by text first. A null text stays null until passages are
-taken out, and counts as empty from there on. Empty tables pass through.
+and stay. Rows that share a doc_id are told apart by their texts, so each group keeps one row and no
+text is lost that has no copy. A null text stays null until passages are taken out, and counts as
+empty from there on. Empty tables pass through.
 """
 
 from __future__ import annotations
@@ -26,12 +27,16 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of least id stays."""
-    groups = simhash.near_copies(docs)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    docs = docs.select(*COLUMNS)
-    others = COLUMNS[1:]
-    one = docs.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*others)).alias("row"))
+    """Of each group of near copies one row of least id stays, of equal ones the least by text."""
+    docs, others = docs.select(*COLUMNS), COLUMNS[1:]
+    groups = keep(simhash.near_copies(docs).where("doc_id is not null"), "near-copies")
+    chosen = groups.groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("one")).select("one.doc_id", "one.fp")
+    # an id that texts with different fingerprints share does not say which of them stays
+    shared = groups.groupBy("doc_id").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least <> most").select("doc_id")
+    plain = docs.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi").join(shared, "doc_id", "left_anti")
+    told = simhash.with_fingerprint(docs.join(shared, "doc_id", "left_semi")).join(chosen, ["doc_id", "fp"], "left_semi")
+    rows = plain.withColumn("fp", F.lit(None).cast("bigint")).unionByName(told)
+    one = rows.groupBy("doc_id", "fp").agg(F.min(F.struct(*others)).alias("row"))
     return one.select("doc_id", *[f"row.{c}" for c in others]).unionByName(docs.where("doc_id is null"))
 
 
