@@ -1,7 +1,11 @@
-"""Passages that texts share, from hashes of fixed length at content-selected positions."""
+"""Passages that texts share, from a sparse suffix array: suffixes at content-selected positions,
+sorted by their words, whose neighbours are compared and extended."""
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,86 +36,222 @@ def among_sorted(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return keys[np.minimum(np.searchsorted(keys, values), len(keys) - 1)] == values
 
 
+def all_masks(reach: int) -> int:
+    return (1 << (reach + 1)) - 1
+
+
+def matches(contexts: list[tuple[str, str]], reach: int) -> list[int]:
+    """For suffixes that agree in their first words, as (the words that follow these, the words
+    before the suffix): by how many words to the left, as bits, a passage may start that another
+    of them has too. Each is extended over d words to the left and the rest of a passage to the right."""
+    split = [(rest.split(" ") if rest else [], left.split(" ") if left else []) for rest, left in contexts]
+    out = [0] * len(contexts)
+    for d in range(reach + 1):
+        same: dict[tuple, int] = {}
+        for i, (rest, left) in enumerate(split):
+            if len(left) >= d and len(rest) >= reach - d:
+                first = same.setdefault((*left[len(left) - d :], *rest[: reach - d]), i)
+                if first != i:
+                    out[first] |= 1 << d
+                    out[i] |= 1 << d
+    return out
+
+
+def compare(reach: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for ``mapInArrow`` on suffixes sorted by their words. Neighbours that agree in their leading words are
+    compared; ``mask`` says which passages around a suffix are repeated. Of over ``most`` different
+    ones that agree, each is handed on instead, with its words, to be compared by whole passages."""
+    every = all_masks(reach)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        lead, contexts, members, whole, large = None, [], [], [], False
+
+        def settle() -> None:
+            if len(contexts) > 1:
+                for member, mask, done in zip(members, matches(contexts, reach), whole, strict=True):
+                    if mask and not done:
+                        out.append((*member, mask, None, None, None))
+
+        def hand_on() -> None:
+            out.extend((*member, None, lead, *context) for member, context in zip(members, contexts, strict=True))
+
+        for batch in batches:
+            for chunk, entry, lead_, rest, left, again in zip(*(batch[c].to_pylist() for c in ENTRY), strict=True):
+                if lead_ != lead:
+                    if not large:
+                        settle()
+                    lead, contexts, members, whole, large = lead_, [], [], [], False
+                if again:
+                    out.append((chunk, entry, every, None, None, None))
+                if large:
+                    out.append((chunk, entry, None, lead, rest, left))
+                elif contexts and contexts[-1] == (rest, left):
+                    if not whole[-1]:
+                        out.append((*members[-1], every, None, None, None))
+                        whole[-1] = True
+                    if not again:
+                        out.append((chunk, entry, every, None, None, None))
+                else:
+                    contexts.append((rest, left))
+                    members.append((chunk, entry))
+                    whole.append(again)
+                    if len(contexts) > most:
+                        hand_on()
+                        contexts, members, whole, large = [], [], [], True
+            yield pa.RecordBatch.from_pydict(dict(zip(FOUND_TYPE.names, zip(*out, strict=True), strict=True)) if out else {n: [] for n in FOUND_TYPE.names}, schema=FOUND_TYPE)
+            out.clear()
+        if not large:
+            settle()
+        if out:
+            yield pa.RecordBatch.from_pydict(dict(zip(FOUND_TYPE.names, zip(*out, strict=True), strict=True)), schema=FOUND_TYPE)
+
+    return run
+
+
+ENTRY = ["chunk", "entry", "lead", "rest", "before", "again"]
+FOUND = "chunk int, entry int, mask int, lead string, rest string, before string"
+FOUND_TYPE = pa.schema([("chunk", pa.int32()), ("entry", pa.int32()), ("mask", pa.int32()), ("lead", pa.string()), ("rest", pa.string()), ("before", pa.string())])
+#: Different suffixes with the same leading words that one task holds at a time.
+MOST_TOGETHER = 20_000
+
+
+def by_whole_passages(large: DataFrame, reach: int, groups: int) -> DataFrame:
+    """(chunk, entry, mask) for what ``compare`` handed on: each passage around a suffix is a row, and neighbours
+    among these, sorted by their words, are compared. Nothing is held but one passage. A passage may lie
+    around two suffixes of one text; those with as many words to the left are copies."""
+    kind = pa.schema([("chunk", pa.int32()), ("entry", pa.int32()), ("mask", pa.int32()), ("passage", pa.string())])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                out = []
+                part = batch.slice(lo, 256)
+                for chunk, entry, lead, rest, left in zip(*(part[c].to_pylist() for c in ("chunk", "entry", "lead", "rest", "before")), strict=True):
+                    rest, left = rest.split(" ") if rest else [], left.split(" ") if left else []
+                    out += [(chunk, entry, 1 << d, " ".join([*left[len(left) - d :], lead, *rest[: reach - d]])) for d in range(reach + 1) if len(left) >= d and len(rest) >= reach - d]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(kind)], schema=kind)
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None
+        for batch in batches:
+            out = []
+            for *row, passage in zip(*(batch[c].to_pylist() for c in kind.names), strict=True):
+                if (row[2], passage) != last:
+                    last, held = (row[2], passage), row
+                    continue
+                if held:
+                    out.append(held)
+                    held = None
+                out.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int32()) for i in range(3)], names=kind.names[:3])
+
+    rows = large.select("chunk", "entry", "lead", "rest", "before").mapInArrow(spread, "chunk int, entry int, mask int, passage string")
+    return exchange.dealt(rows, "passage", groups).sortWithinPartitions("passage", "mask").mapInArrow(neighbours, "chunk int, entry int, mask int")
+
+
 def shared_passages(
-    df: DataFrame, passage: int = PASSAGE, k: int = MINIMISER, among: int = AMONG, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame, passage: int = PASSAGE, k: int = MINIMISER, among: int = AMONG, together: int = MOST_TOGETHER, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per maximal interval of repeated words: doc_id, start, end (in words, end
     exclusive), n_words of the text and the passage's text.
 
     A word is repeated if it lies in ``passage`` words in a row that also start anywhere else,
     in the same text or another. Any run of that many words holds the position selected among
-    its first grams, and every copy selects the same one. So only suffixes at selected
-    positions are kept, as hashes of the words that any repeat must share from there on. The
-    hashes are sorted and neighbours compared; where two agree, the whole passages around the
-    position are compared in the same way. No suffix is ordered or extended word by word. See
-    ``exchange`` for how sorting and comparing are spread.
+    its first grams, and every copy selects the same one, so only suffixes at selected positions
+    are retained. They are sifted by a hash of the words that any repeat shares from there on; what
+    is left is dealt by these words themselves and sorted by all words up to a passage's end.
+    So suffixes that can match stand side by side, as in a suffix array. Neighbours with the same leading words are
+    compared and extended to the right and left, word by word: the hash sifts, words decide.
+
+    A chunk of documents sends a suffix with its surroundings once, however often it occurs there, so one that
+    a third of all texts hold costs a row a chunk. Where over ``together`` different surroundings
+    share their leading words, passages are sorted in place of suffixes; see ``by_whole_passages``.
 
     Nulls: a null text has no words; a null id is one more id. Texts of fewer than ``passage``
     words give no row. Repeated rows are copies of each other. An empty table gives no rows.
-    Other columns of ``df`` are not read.
+    Other columns of ``df`` are not read. A text is worked through as a whole by one task.
     """
     if passage < k + among - 1:
         raise ValueError("a passage must hold every gram that is chosen from")
-    tail = passage - among + 1  # words from the selected position to the end, at least
+    if among > 31:
+        raise ValueError("places among which one is chosen are the bits of a number")
+    reach = among - 1  # words from a passage's start to the selected position, at most
+    tail = passage - reach  # words from the selected position to the end, at least
     chunks, total = exchange.chunked(texts(df, id_col, text_col))
-    few = exchange.buckets_for(total // 40)
-    many = exchange.buckets_for(total // 20)
+    few, groups = exchange.buckets_for(total // 40), max(1, total // exchange.CHUNK_BYTES)
 
     def suffixes(table: pa.Table) -> tuple[list, np.ndarray]:
-        """Of each text: its codes, the position selected for each passage's start, the
-        distinct positions and their suffixes' hashes; and all hashes."""
+        """Of each text: the distinct selected positions and their suffixes' hashes; and all hashes."""
         out = []
         for text in table["text"].to_pylist():
             codes = rolling.word_codes(WORD.findall(text))
             starts = max(0, len(codes) - passage + 1)
-            chosen = minimisers(codes, k, among)[0][:starts]
-            at = np.unique(chosen)
-            out.append((codes, chosen, at, rolling.windows(codes, tail)[at] if len(at) else np.zeros(0, np.uint64)))
-        return out, np.concatenate([h for *_, h in out])
+            at = np.unique(minimisers(codes, k, among)[0][:starts])
+            out.append((at, rolling.windows(codes, tail)[at] if len(at) else np.zeros(0, np.uint64)))
+        return out, np.concatenate([h for _, h in out])
 
-    def passages_of(table: pa.Table, marks: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Starts and hashes of the passages around positions whose suffix is not alone."""
+    def candidates(table: pa.Table, marks: pa.Table) -> list[tuple]:
+        """Of each text with suffixes that may not be alone: its place, its words, where these suffixes
+        begin, and for each its leading words, those that follow and those before it."""
         found, every = suffixes(table)
         keys, counts = np.unique(every, return_counts=True)
         keys = keys[(counts > 1) | exchange.marked(keys, few, marks)]
-        starts, hashes = [], []
-        for codes, chosen, at, h in found:
-            shared = at[among_sorted(h, keys)]
-            s = np.flatnonzero(np.isin(chosen, shared))
-            starts.append(s)
-            hashes.append(rolling.windows(codes, passage)[s] if len(s) else np.zeros(0, np.uint64))
-        return starts, hashes
+        out = []
+        for i, (at, h) in enumerate(found):
+            shared = at[among_sorted(h, keys)].tolist()
+            if shared:
+                w = WORD.findall(table["text"][i].as_py())
+                out.append((i, w, shared, [(" ".join(w[p : p + tail]), " ".join(w[p + tail : p + passage]), " ".join(w[max(0, p - reach) : p])) for p in shared]))
+        return out
 
     def first_keys(table: pa.Table) -> np.ndarray:
         return np.unique(suffixes(table)[1])
 
-    def second_keys(table: pa.Table, marks: pa.Table) -> np.ndarray:
-        return np.unique(np.concatenate(passages_of(table, marks)[1]))
+    entry_type = pa.schema([("chunk", pa.int32()), ("entry", pa.int32()), ("lead", pa.string()), ("rest", pa.string()), ("before", pa.string()), ("again", pa.bool_())])
+
+    def send(table: pa.Table, marks: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return entry_type.empty_table()
+        times = Counter(c for *_, own in candidates(table, marks) for c in own)
+        distinct = sorted(times)
+        n = len(distinct)
+        lead, rest, before = zip(*distinct, strict=True) if n else ((), (), ())
+        columns = [[table["chunk"][0].as_py()] * n, range(n), lead, rest, before, [times[c] > 1 for c in distinct]]
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, entry_type, strict=True)], schema=entry_type)
 
-    first = exchange.seen_elsewhere(chunks, first_keys, few)
-    second = exchange.seen_elsewhere(chunks, second_keys, many, first)
-    both = first.selectExpr("chunk", "bucket", "marks", "1 as round").unionByName(second.selectExpr("chunk", "bucket", "marks", "2 as round"))
     out_type = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("n_words", pa.int32()), ("passage", pa.string())])
 
-    def finish(table: pa.Table, marks: pa.Table) -> pa.Table:
+    def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
             return out_type.empty_table()
-        rounds = marks["round"].to_numpy()
-        starts, hashes = passages_of(table, marks.filter(pa.array(rounds == 1)))
-        keys, counts = np.unique(np.concatenate(hashes), return_counts=True)
-        keys = keys[(counts > 1) | exchange.marked(keys, many, marks.filter(pa.array(rounds == 2)))]
+        own = replies["entry"].to_numpy() if replies.num_rows else np.zeros(0)
+        masks: dict[int, int] = {}
+        for entry, mask in zip(*(replies.filter(pa.array(own >= 0))[c].to_pylist() for c in ("entry", "mask")), strict=True):
+            masks[entry] = masks.get(entry, 0) | mask
+        if not masks:
+            return out_type.empty_table()
+        found = candidates(table, replies.filter(pa.array(own < 0)))
+        number = {c: i for i, c in enumerate(sorted({c for *_, own in found for c in own}))}
         rows = []
-        for doc, text, s, h in zip(table["doc_id"].to_pylist(), table["text"].to_pylist(), starts, hashes, strict=True):
-            begin = s[among_sorted(h, keys)]
-            if len(begin):
-                words = WORD.findall(text)
-                mask = np.zeros(len(words), bool)
-                mask[begin] = True
-                rows += [(doc, a, b, len(words), " ".join(words[a:b])) for a, b in rolling.spans(rolling.covered(mask, passage, len(words)))]
+        for i, w, shared, own in found:
+            begin = np.zeros(len(w), bool)
+            for p, c in zip(shared, own, strict=True):
+                mask = masks.get(number[c], 0)
+                begin[[p - d for d in range(reach + 1) if mask >> d & 1 and 0 <= p - d <= len(w) - passage]] = True
+            if begin.any():
+                doc = table["doc_id"][i].as_py()
+                rows += [(doc, a, b, len(w), " ".join(w[a:b])) for a, b in rolling.spans(rolling.covered(begin, passage, len(w)))]
         return pa.table(list(map(list, zip(*rows, strict=True))), schema=out_type) if rows else out_type.empty_table()
 
+    first = exchange.seen_elsewhere(chunks, first_keys, few)
+    entries = chunks.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(send, "chunk int, entry int, lead string, rest string, before string, again boolean")
+    array = exchange.dealt(entries, "lead", groups).sortWithinPartitions("lead", "rest", "before").mapInArrow(compare(reach, together), FOUND)
+    told = array.where("mask is not null").select("chunk", "entry", "mask").unionByName(by_whole_passages(array.where("mask is null"), reach, groups))
+    none = "cast(null as binary) as marks", "cast(null as int) as bucket"
+    replies = first.selectExpr("chunk", "bucket", "marks", "-1 as entry", "0 as mask").unionByName(told.selectExpr("chunk", *none, "entry", "mask"))
     schema = "doc_id bigint, start int, end int, n_words int, passage string"
-    return chunks.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(finish, schema)
+    return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(finish, schema)
 
 
 def brute_force(rows: list[tuple[int, str | None]], passage: int = PASSAGE) -> list[tuple[int, int, int]]:
