@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -11,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -327,11 +329,36 @@ def test_long_labelled_texts_cost_only_themselves(spark, monkeypatch):
     long = (F.col("doc_id") == ids[0], F.expr(f"repeat('very long ', {toxicity.MOST_BYTES // 10 + 1})"))
     model = toxicity.learn(df.withColumn("text", F.when(*long).otherwise(F.col("text"))), labels)
     assert model == toxicity.learn(df.where(F.col("doc_id") != ids[0]), labels) and model.toxic
-    monkeypatch.setattr(toxicity, "MOST_BYTES", 100)
-    monkeypatch.setattr(toxicity, "LONG", 50)
-    assert toxicity.within_bytes([(i, 0, 90 if i in ids[:4] else 20) for i in ids[:9]] + [(ids[9], 1, 100)]) == ids[4:10]
-    with pytest.raises(ValueError):  # rather than a model that rejects all texts
-        toxicity.within_bytes([(1, 0, 101), (2, 1, 5)])
+    assert toxicity.within_bytes([(i, 0, 90 if i in ids[:4] else 1) for i in ids[:9]] + [(ids[9], 1, 100)], 100) == [ids[0], *ids[4:10]]
+    # all of one kind too long: no text is learnt from and none rejected
+    none = toxicity.learn(df, labels, most_bytes=10)
+    assert set(toxicity.score(df, none).select("predicted").distinct().collect()) == {(0,)}
+    few = toxicity.learn(df.where("length(text) > 0"), labels.where("toxic = 1"))
+    assert toxicity.without_toxic(df, few).count() == df.count()
+
+
+def test_scores_are_those_of_the_compressors_themselves(spark, docs):
+    """Lengths that zstandard gives for each window, put together as the model says."""
+    ordinary, toxic = toxicity.dictionary_text(["plain", "words", "extra"]), toxicity.dictionary_text(["zoggling", "vuxwort"])
+    model = toxicity.Model(ordinary, toxic, 4, (-2.0, 1.5, 0.5, 0.25))
+    how = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
+
+    def length(content, data):
+        return len(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), **how).compress(data))
+
+    rows = [(1, "Zoggling, plain (vuxwort)! words"), (2, "plain words"), (3, None), (4, "a" * 70 + "zoggling"), (None, "vuxwort")]
+    got = {(r.doc_id, r.score, r.predicted) for r in toxicity.score(spark.createDataFrame(rows, "doc_id bigint, text string"), model).collect()}
+    expected = set()
+    for i, t in rows:
+        gains = []
+        for w in (t or "").lower().split():
+            bare = w.strip(toxicity.MARKS)
+            parts = [bare] if len(bare) <= 64 else [bare[k : k + 64] for k in range(0, len(bare) - 32, 32)]
+            gains.append(max(length(ordinary, d) - length(ordinary + toxic, d) for p in parts for d in [f" {p} ".encode("utf-32-le")]))
+        n = sum(g >= 4 for g in gains)
+        z = -2 + 1.5 * math.log1p(n) + 0.5 * math.log1p(100 * n / max(1, len(gains))) + 0.25 * min(max(gains, default=0), 16) / 16
+        expected.add((i, 1 / (1 + math.exp(-z)), int(z >= 0)))
+    assert {(i, round(s, 12), p) for i, s, p in got} == {(i, round(s, 12), p) for i, s, p in expected}
 
 
 def test_pipeline_stages_match_brute_force(spark, docs, empty, tmp_path):

@@ -17,10 +17,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import keep, packed, per_batch, texts
 
-#: Bounds of the labelled sample that the driver learns from: documents of either kind, and
-#: bytes of the whole texts of either kind. Texts of more than LONG bytes come after all others.
+#: Bounds of the labelled sample that the driver learns from, parameters of ``learn``: documents of
+#: either kind, and bytes of the whole texts of either kind.
 MOST_TOXIC, MOST_ORDINARY, MOST_BYTES = 2000, 5000, 16 << 20
-LONG = MOST_BYTES // 64
 LEVEL = 12
 #: Words in the ordinary part of both dictionaries, and in the toxic part of one.
 ORDINARY_WORDS, TOXIC_WORDS = 6000, 600
@@ -171,7 +170,8 @@ def train(rows: list[tuple[str, int]]) -> Model:
     for text, label in learn:
         counts[label].update({w.strip(MARKS) for w in words_of(text)} - {""})
     if not number[0] or not number[1]:
-        return Model(b"", b"", 1, (math.log((number[1] + 1) / (number[0] + 1)), 0.0, 0.0, 0.0))
+        # nothing tells the kinds apart, so no text is rejected
+        return Model(b"", b"", 1, (min(-0.1, math.log((number[1] + 1) / (number[0] + 1))), 0.0, 0.0, 0.0))
     toxic_words = telling(counts[1], counts[0], number[1], number[0])[:TOXIC_WORDS]
     known = set(toxic_words)
     common = [w for w, _ in sorted(counts[0].items(), key=lambda x: (-x[1], x[0])) if w not in known]
@@ -205,36 +205,44 @@ def train(rows: list[tuple[str, int]]) -> Model:
     return Model(base, toxic, least, tuple(map(float, w)))
 
 
-def within_bytes(sizes: list[tuple[int, int, int]]) -> list[int]:
-    """The ids of those of (id, label, bytes) that fit into MOST_BYTES for each label, by hash of
-    the id. A row that does not fit is passed over and costs only itself, and long ones take no
-    room from others. Raises ValueError where none of a label's rows fits."""
-    room, taken = {label: MOST_BYTES for _, label, _ in sizes}, []
-    for doc, label, n in sorted(sizes, key=lambda r: (r[2] > LONG, xxhash.xxh64_intdigest(str(r[0])))):
+def within_bytes(sizes: list[tuple[int, int, int]], most_bytes: int) -> list[int]:
+    """The ids of those of (id, label, bytes) that fit into ``most_bytes`` for each label, by hash of
+    the id. A row that does not fit is passed over and costs only itself, and none may take more than
+    a 64th of the room while shorter ones are left."""
+    room, taken = {label: most_bytes for _, label, _ in sizes}, []
+    for doc, label, n in sorted(sizes, key=lambda r: (64 * r[2] > most_bytes, xxhash.xxh64_intdigest(str(r[0])))):
         if n <= room[label]:
             room[label] -= n
-            taken.append((doc, label))
-    if none := set(room) - {label for _, label in taken}:
-        raise ValueError(f"all labelled texts of label {sorted(none)} have more than {MOST_BYTES} bytes, so none can be learnt from")
-    return sorted((doc for doc, _ in taken), key=lambda doc: xxhash.xxh64_intdigest(str(doc)))
-
-
-def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+            taken.append(doc)
+    return sorted(taken, key=lambda doc: xxhash.xxh64_intdigest(str(doc)))
+
+
+def learn(
+    df: DataFrame,
+    labels: DataFrame,
+    most_toxic: int = MOST_TOXIC,
+    most_ordinary: int = MOST_ORDINARY,
+    most_bytes: int = MOST_BYTES,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> Model:
     """A model from rows of ``df`` that ``labels`` (doc_id, toxic) marks and that are not held
-    out: of either kind as many as the bounds above allow, those of lowest hash first.
+    out: of toxic ones ``most_toxic``, of others ``most_ordinary``, and of either kind as many as have
+    ``most_bytes`` together, those of lowest hash first.
 
     Of rows that share an id the one of least text is learnt from. The driver reads the lengths
     of the picked texts, which are a table in the shared folder, and then only those texts that
-    fit into the bound of bytes; see ``within_bytes``. An id that ``labels`` marks both ways is left out."""
+    fit into the bound of bytes; see ``within_bytes``. An id that ``labels`` marks both ways is left out.
+    Where no text of one kind is left, the model rejects nothing."""
     marked = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     marked = marked.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
     marked = marked.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other").drop("other")
-    some = [marked.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, MOST_TOXIC), (0, MOST_ORDINARY))]
+    some = [marked.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, most_toxic), (0, most_ordinary))]
     picked = some[0].unionByName(some[1])
     found = texts(df, id_col, text_col).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     found = keep(found, "labelled")
     sizes = found.select("doc_id", "toxic", F.octet_length("text").alias("bytes")).collect()
-    taken = {doc: k for k, doc in enumerate(within_bytes([(r["doc_id"], r["toxic"], r["bytes"]) for r in sizes]))}
+    taken = {doc: k for k, doc in enumerate(within_bytes([(r["doc_id"], r["toxic"], r["bytes"]) for r in sizes], most_bytes))}
     chosen = df.sparkSession.createDataFrame([(doc,) for doc in taken], "doc_id bigint")
     rows = {taken[r["doc_id"]]: (r["text"], r["toxic"]) for r in found.join(F.broadcast(chosen), "doc_id").collect()}
     return train([rows[k] for k in range(len(taken))])
