@@ -94,7 +94,7 @@ def test_restart_repeats_nothing(spark, feed):
     path, checkpoint = shared_dir(spark, "out"), shared_dir(spark, "checkpoint")
 
     def run():
-        return run_to_table(spark, running_counts(feed.stream(), "user_id"), "c", path, checkpoint)
+        return run_to_table(spark, running_counts(feed.stream(), "user_id", "ts"), "c", path, checkpoint).drop("since")
 
     feed.add((0, 1, "a"), (1, 1, "a"), (2, 2, "a"))
     assert sorted(map(tuple, run().collect())) == [(1, 2), (2, 1)]
@@ -103,6 +103,33 @@ def test_restart_repeats_nothing(spark, feed):
     assert run().count() == 5
 
 
+def test_idle_keys_leave_and_begin_anew(spark, feed):
+    """After a restart too; the number of keys in state is what the query reports."""
+    path, checkpoint = shared_dir(spark, "out"), shared_dir(spark, "checkpoint")
+
+    def run():
+        counts = running_counts(feed.stream(), "user_id", "ts", idle="1 hour", delay="1 minute")
+        query = counts.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+        query.awaitTermination()
+        rows = {}
+        for r in spark.read.schema(counts.schema).parquet(path).collect():
+            rows[r.user_id, r.since] = max(rows.get((r.user_id, r.since), 0), r.events_so_far)
+        return rows, query.lastProgress["stateOperators"][0]["customMetrics"]
+
+    feed.add((0, 1, "a"), (30, 1, "a"), (20, 2, "a"))
+    run()
+    feed.add((80, 1, "a"), (90, 3, "a"))  # 80 is 50 after 30; 2 is idle for an hour at 80
+    feed.add((95, 3, "a"))
+    run()
+    feed.add((150, 2, "a"), (151, 1, "a"), (151, 2, "a")).add((400, 9, "a"))
+    rows, _ = run()
+    # the watermark had passed 2's hour, not yet 1's
+    assert rows == {(1, at(0)): 4, (2, at(20)): 1, (3, at(90)): 2, (2, at(150)): 2, (9, at(400)): 1}
+    # at 400 all but one key have been idle
+    values = spark.read.format("statestore").option("stateVarName", "count").load(checkpoint)
+    assert values.count() == 1
+
+
 def firsts(spark, feed, closed=True):
     events, close = closable_stream(spark, feed.dir, "events", ["event_id", "ts", "user_id", "event_type"], max_files=1)
     out = first_within(events, ["user_id", "event_type"], "ts", "event_id", "10 minutes")
@@ -140,7 +167,7 @@ def test_closing_brings_out_what_is_open(spark, feed):
 
 def test_large_keys_beside_a_null_stay_apart(spark, feed):
     feed.add((0, 2**53, "a"), (0, 2**53 + 1, "a"), (0, None, "a"), (1, 2**53 + 1, "a"))
-    out = run_to_table(spark, running_counts(feed.stream(), "user_id"), "c")
+    out = run_to_table(spark, running_counts(feed.stream(), "user_id", "ts"), "c").drop("since")
     assert {tuple(r) for r in out.collect()} == {(2**53, 1), (2**53 + 1, 2), (None, 1)}
 
 

@@ -104,9 +104,11 @@ select event_id, user_id, event_type, c_mktsegment from events left join custome
 
 
 def stream_running_counts(spark: SparkSession, data_dir: str) -> DataFrame:
-    """The last count of each user once the stream has been worked through."""
-    out = run_to_table(spark, running_counts(_events(spark, data_dir, "user_id"), "user_id"), "running-counts")
-    return out.groupBy("user_id").agg(F.max("events_so_far").alias("events"))
+    """Events of each user once the stream has been worked through: its counts of all times at
+    which it was not idle for a day."""
+    counts = running_counts(_events(spark, data_dir, "user_id", "ts"), "user_id", "ts", "1 day", _delay(spark, data_dir))
+    out = run_to_table(spark, counts, "running-counts").groupBy("user_id", "since").agg(F.max("events_so_far").alias("events"))
+    return out.groupBy("user_id").agg(F.sum("events").alias("events"))
 
 
 STREAM_RUNNING_COUNTS_SQL = "select user_id, count(*) as events from events group by user_id"

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.joined import joined_texts
+from tidemark.operators.links import page_links
 from tidemark.operators.near_copies import near_copies
 from tidemark.operators.overlap import shared_shingles
 from tidemark.operators.spread import held_by_at_least
+from tidemark.operators.widespread import most_widespread
 from tidemark.plans.registry import Query
 from tidemark.sources.tables import table
 
@@ -72,7 +75,52 @@ where len(l) >= 3
 """
 
 
+def widespread_words(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The twenty words, in lower case, that most documents of each language hold."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[^ \t\n\x0B\f\r]+"), F.lit(0))
+    docs = table(spark, data_dir, "documents").select("lang", F.array_distinct(words).alias("words"))
+    return most_widespread(docs, "lang", "words", 20).withColumnRenamed("value", "word")
+
+
+WIDESPREAD_WORDS_SQL = r"""
+select lang, word, rows, place from (
+  select *, row_number() over (partition by lang order by rows desc, word) as place
+  from (select lang, word, count(*) as rows
+        from (select lang, unnest(list_distinct(regexp_extract_all(lower(text), '[^ \t\n\x0B\f\r]+'))) as word from documents)
+        group by lang, word))
+where place <= 20
+"""
+
+
+def conversation_texts(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Each conversation as text, a line a turn, in pieces of ten thousand turns."""
+    turns = table(spark, data_dir, "conversations").withColumn("line", F.concat(F.col("role"), F.lit(": "), F.col("text")))
+    return joined_texts(turns, ["conv_id"], ["turn"], "line", longest_group=turns.count())
+
+
+CONVERSATION_TEXTS_SQL = """
+select conv_id, (place - 1) // 10000 as piece, count(*) as rows, string_agg(role || ': ' || text, chr(10) order by turn) as text
+from (select *, row_number() over (partition by conv_id order by turn) as place from conversations) group by 1, 2
+"""
+
+
+def link_targets(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Targets of links as pages write them: how many links and pages have each."""
+    found = page_links(table(spark, data_dir, "pages"))
+    per_page = found.groupBy("page_id", "href").agg(F.count("*").alias("links"))
+    return per_page.groupBy("href").agg(F.sum("links").alias("links"), F.count("*").alias("pages"))
+
+
+LINK_TARGETS_SQL = """
+select href, count(*) as links, count(distinct page_id) as pages
+from (select page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) as href from pages) group by href
+"""
+
+
 QUERIES = {
+    "widespread_words": Query(widespread_words, WIDESPREAD_WORDS_SQL),
+    "conversation_texts": Query(conversation_texts, CONVERSATION_TEXTS_SQL),
+    "link_targets": Query(link_targets, LINK_TARGETS_SQL),
     "near_copy_classes": Query(near_copy_classes, NEAR_COPY_CLASSES_SQL),
     "benchmark_overlap": Query(benchmark_overlap, BENCHMARK_OVERLAP_SQL),
     "common_lines": Query(common_lines, COMMON_LINES_SQL),
