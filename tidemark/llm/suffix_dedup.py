@@ -3,12 +3,12 @@ sorted by their words, whose neighbours are compared and extended."""
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.llm import exchange, rolling
 from tidemark.llm.common import WORD, texts
@@ -36,10 +36,6 @@ def among_sorted(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return keys[np.minimum(np.searchsorted(keys, values), len(keys) - 1)] == values
 
 
-def all_masks(reach: int) -> int:
-    return (1 << (reach + 1)) - 1
-
-
 def matches(contexts: list[tuple[str, str]], reach: int) -> list[int]:
     """For suffixes that agree in their first words, as (the words that follow these, the words
     before the suffix): by how many words to the left, as bits, a passage may start that another
@@ -57,97 +53,94 @@ def matches(contexts: list[tuple[str, str]], reach: int) -> list[int]:
     return out
 
 
+#: A suffix with its surroundings, and where it occurs in its chunk: pairs of a text's place and a word's.
+ENTRY = "chunk int, at binary, lead string, rest string, before string, again boolean"
+ENTRY_TYPE = pa.schema([("chunk", pa.int32()), ("at", pa.binary()), ("lead", pa.string()), ("rest", pa.string()), ("before", pa.string()), ("again", pa.bool_())])
+#: Which passages around it are repeated, as the bits of ``mask``; with a ``passage``, whether that one is, is still open.
+FOUND = "chunk int, at binary, mask int, passage string"
+FOUND_TYPE = pa.schema([("chunk", pa.int32()), ("at", pa.binary()), ("mask", pa.int32()), ("passage", pa.string())])
+#: Different suffixes with the same leading words that one task holds at a time.
+MOST_TOGETHER = 20_000
+
+
+def found_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(FOUND_TYPE)], schema=FOUND_TYPE)
+
+
 def compare(reach: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function for ``mapInArrow`` on suffixes sorted by their words. Neighbours that agree in their leading words are
-    compared; ``mask`` says which passages around a suffix are repeated. Of over ``most`` different
-    ones that agree, each is handed on instead, with its words, to be compared by whole passages."""
-    every = all_masks(reach)
+    """A function for ``mapInArrow`` on suffixes sorted by their words. Neighbours that agree in their leading
+    words are compared. Of over ``most`` different ones that agree, all passages around each are given
+    out instead, to be sorted themselves."""
+    every = (1 << (reach + 1)) - 1
+
+    def passages(chunk: int, at: bytes, lead: str, rest: str, before: str) -> Iterator[tuple]:
+        right, left = rest.split(" ") if rest else [], before.split(" ") if before else []
+        for d in range(reach + 1):
+            if len(left) >= d and len(right) >= reach - d:
+                yield chunk, at, 1 << d, " ".join([*left[len(left) - d :], lead, *right[: reach - d]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
         lead, contexts, members, whole, large = None, [], [], [], False
+        out: list[tuple] = []
 
         def settle() -> None:
             if len(contexts) > 1:
-                for member, mask, done in zip(members, matches(contexts, reach), whole, strict=True):
-                    if mask and not done:
-                        out.append((*member, mask, None, None, None))
-
-        def hand_on() -> None:
-            out.extend((*member, None, lead, *context) for member, context in zip(members, contexts, strict=True))
+                out.extend((*m, mask, None) for m, mask, done in zip(members, matches(contexts, reach), whole, strict=True) if mask and not done)
 
         for batch in batches:
-            for chunk, entry, lead_, rest, left, again in zip(*(batch[c].to_pylist() for c in ENTRY), strict=True):
-                if lead_ != lead:
-                    if not large:
-                        settle()
-                    lead, contexts, members, whole, large = lead_, [], [], [], False
-                if again:
-                    out.append((chunk, entry, every, None, None, None))
-                if large:
-                    out.append((chunk, entry, None, lead, rest, left))
-                elif contexts and contexts[-1] == (rest, left):
-                    if not whole[-1]:
-                        out.append((*members[-1], every, None, None, None))
-                        whole[-1] = True
-                    if not again:
-                        out.append((chunk, entry, every, None, None, None))
-                else:
-                    contexts.append((rest, left))
-                    members.append((chunk, entry))
-                    whole.append(again)
-                    if len(contexts) > most:
-                        hand_on()
-                        contexts, members, whole, large = [], [], [], True
-            yield pa.RecordBatch.from_pydict(dict(zip(FOUND_TYPE.names, zip(*out, strict=True), strict=True)) if out else {n: [] for n in FOUND_TYPE.names}, schema=FOUND_TYPE)
-            out.clear()
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                for chunk, at, lead_, rest, before, again in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    if lead_ != lead:
+                        if not large:
+                            settle()
+                        lead, contexts, members, whole, large = lead_, [], [], [], False
+                    if again:
+                        out.append((chunk, at, every, None))
+                    if large:
+                        out.extend(passages(chunk, at, lead, rest, before))
+                    elif contexts and contexts[-1] == (rest, before):
+                        if not whole[-1]:
+                            out.append((*members[-1], every, None))
+                            whole[-1] = True
+                        if not again:
+                            out.append((chunk, at, every, None))
+                    else:
+                        contexts.append((rest, before))
+                        members.append((chunk, at))
+                        whole.append(again)
+                        if len(contexts) > most:
+                            for m, c in zip(members, contexts, strict=True):
+                                out.extend(passages(*m, lead, *c))
+                            contexts, members, whole, large = [], [], [], True
+                yield found_batch(out)
+                out.clear()
         if not large:
             settle()
-        if out:
-            yield pa.RecordBatch.from_pydict(dict(zip(FOUND_TYPE.names, zip(*out, strict=True), strict=True)), schema=FOUND_TYPE)
+        yield found_batch(out)
 
     return run
 
 
-ENTRY = ["chunk", "entry", "lead", "rest", "before", "again"]
-FOUND = "chunk int, entry int, mask int, lead string, rest string, before string"
-FOUND_TYPE = pa.schema([("chunk", pa.int32()), ("entry", pa.int32()), ("mask", pa.int32()), ("lead", pa.string()), ("rest", pa.string()), ("before", pa.string())])
-#: Different suffixes with the same leading words that one task holds at a time.
-MOST_TOGETHER = 20_000
-
-
-def by_whole_passages(large: DataFrame, reach: int, groups: int) -> DataFrame:
-    """(chunk, entry, mask) for what ``compare`` handed on: each passage around a suffix is a row, and neighbours
-    among these, sorted by their words, are compared. Nothing is held but one passage. A passage may lie
-    around two suffixes of one text; those with as many words to the left are copies."""
-    kind = pa.schema([("chunk", pa.int32()), ("entry", pa.int32()), ("mask", pa.int32()), ("passage", pa.string())])
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                out = []
-                part = batch.slice(lo, 256)
-                for chunk, entry, lead, rest, left in zip(*(part[c].to_pylist() for c in ("chunk", "entry", "lead", "rest", "before")), strict=True):
-                    rest, left = rest.split(" ") if rest else [], left.split(" ") if left else []
-                    out += [(chunk, entry, 1 << d, " ".join([*left[len(left) - d :], lead, *rest[: reach - d]])) for d in range(reach + 1) if len(left) >= d and len(rest) >= reach - d]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(kind)], schema=kind)
-
-    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
-        for batch in batches:
+def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For ``mapInArrow`` on ``FOUND`` sorted by passage and mask: of the passages that are still open, those
+    that stand beside an equal one. A passage may lie around two suffixes of one text; those with as
+    many words before the suffix are copies."""
+    last, held = None, None
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 1024):
             out = []
-            for *row, passage in zip(*(batch[c].to_pylist() for c in kind.names), strict=True):
-                if (row[2], passage) != last:
-                    last, held = (row[2], passage), row
-                    continue
-                if held:
-                    out.append(held)
-                    held = None
-                out.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int32()) for i in range(3)], names=kind.names[:3])
-
-    rows = large.select("chunk", "entry", "lead", "rest", "before").mapInArrow(spread, "chunk int, entry int, mask int, passage string")
-    return exchange.dealt(rows, "passage", groups).sortWithinPartitions("passage", "mask").mapInArrow(neighbours, "chunk int, entry int, mask int")
+            for row in zip(*(c.to_pylist() for c in batch.slice(lo, 1024).columns), strict=True):
+                if row[3] is None:
+                    out.append(row)
+                elif row[2:] != last:
+                    last, held = row[2:], row
+                else:
+                    if held:
+                        out.append(held)
+                        held = None
+                    out.append(row)
+            yield found_batch([(*r[:3], None) for r in out])
 
 
 def shared_passages(
@@ -166,7 +159,7 @@ def shared_passages(
 
     A chunk of documents sends a suffix with its surroundings once, however often it occurs there, so one that
     a third of all texts hold costs a row a chunk. Where over ``together`` different surroundings
-    share their leading words, passages are sorted in place of suffixes; see ``by_whole_passages``.
+    share their leading words, the passages around them are sorted in place of suffixes; see ``settled``.
 
     Nulls: a null text has no words; a null id is one more id. Texts of fewer than ``passage``
     words give no row. Repeated rows are copies of each other. An empty table gives no rows.
@@ -181,77 +174,72 @@ def shared_passages(
     chunks, total = exchange.chunked(texts(df, id_col, text_col))
     few, groups = exchange.buckets_for(total // 40), max(1, total // exchange.CHUNK_BYTES)
 
-    def suffixes(table: pa.Table) -> tuple[list, np.ndarray]:
+    def suffixes(own: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
         """Of each text: the distinct selected positions and their suffixes' hashes; and all hashes."""
         out = []
-        for text in table["text"].to_pylist():
+        for text in own:
             codes = rolling.word_codes(WORD.findall(text))
             starts = max(0, len(codes) - passage + 1)
             at = np.unique(minimisers(codes, k, among)[0][:starts])
             out.append((at, rolling.windows(codes, tail)[at] if len(at) else np.zeros(0, np.uint64)))
         return out, np.concatenate([h for _, h in out])
 
-    def candidates(table: pa.Table, marks: pa.Table) -> list[tuple]:
-        """Of each text with suffixes that may not be alone: its place, its words, where these suffixes
-        begin, and for each its leading words, those that follow and those before it."""
-        found, every = suffixes(table)
-        keys, counts = np.unique(every, return_counts=True)
-        keys = keys[(counts > 1) | exchange.marked(keys, few, marks)]
-        out = []
-        for i, (at, h) in enumerate(found):
-            shared = at[among_sorted(h, keys)].tolist()
-            if shared:
-                w = WORD.findall(table["text"][i].as_py())
-                out.append((i, w, shared, [(" ".join(w[p : p + tail]), " ".join(w[p + tail : p + passage]), " ".join(w[max(0, p - reach) : p])) for p in shared]))
-        return out
+    def in_order(table: pa.Table) -> list[tuple[int | None, str]]:
+        """A chunk's texts by id and text, so that a place names the same text whenever the chunk is read."""
+        return sorted(zip(table["doc_id"].to_pylist(), table["text"].to_pylist(), strict=True), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
 
     def first_keys(table: pa.Table) -> np.ndarray:
-        return np.unique(suffixes(table)[1])
-
-    entry_type = pa.schema([("chunk", pa.int32()), ("entry", pa.int32()), ("lead", pa.string()), ("rest", pa.string()), ("before", pa.string()), ("again", pa.bool_())])
+        return np.unique(suffixes(table["text"].to_pylist())[1])
 
     def send(table: pa.Table, marks: pa.Table) -> pa.Table:
+        """Suffixes that may not be alone, with their surroundings, each once."""
         if not table.num_rows:
-            return entry_type.empty_table()
-        times = Counter(c for *_, own in candidates(table, marks) for c in own)
-        distinct = sorted(times)
-        n = len(distinct)
-        lead, rest, before = zip(*distinct, strict=True) if n else ((), (), ())
-        columns = [[table["chunk"][0].as_py()] * n, range(n), lead, rest, before, [times[c] > 1 for c in distinct]]
-        return pa.table([pa.array(c, f.type) for c, f in zip(columns, entry_type, strict=True)], schema=entry_type)
+            return ENTRY_TYPE.empty_table()
+        own = [t for _, t in in_order(table)]
+        found, every = suffixes(own)
+        keys, counts = np.unique(every, return_counts=True)
+        keys = keys[(counts > 1) | exchange.marked(keys, few, marks)]
+        held: dict[tuple[str, str, str], list[int]] = {}
+        for i, (text, (at, h)) in enumerate(zip(own, found, strict=True)):
+            shared = at[among_sorted(h, keys)].tolist()
+            if shared:
+                w = WORD.findall(text)
+                for p in shared:
+                    context = " ".join(w[p : p + tail]), " ".join(w[p + tail : p + passage]), " ".join(w[max(0, p - reach) : p])
+                    held.setdefault(context, []).extend((i, p))
+        lead, rest, before = zip(*held, strict=True) if held else ((), (), ())
+        at = [np.array(x, "<i4").tobytes() for x in held.values()]
+        columns = [[table["chunk"][0].as_py()] * len(held), at, lead, rest, before, [len(x) > 2 for x in held.values()]]
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, ENTRY_TYPE, strict=True)], schema=ENTRY_TYPE)
 
     out_type = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("n_words", pa.int32()), ("passage", pa.string())])
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return out_type.empty_table()
-        own = replies["entry"].to_numpy() if replies.num_rows else np.zeros(0)
-        masks: dict[int, int] = {}
-        for entry, mask in zip(*(replies.filter(pa.array(own >= 0))[c].to_pylist() for c in ("entry", "mask")), strict=True):
-            masks[entry] = masks.get(entry, 0) | mask
-        if not masks:
+        if not table.num_rows or not replies.num_rows:
             return out_type.empty_table()
-        found = candidates(table, replies.filter(pa.array(own < 0)))
-        number = {c: i for i, c in enumerate(sorted({c for *_, own in found for c in own}))}
-        rows = []
-        for i, w, shared, own in found:
-            begin = np.zeros(len(w), bool)
-            for p, c in zip(shared, own, strict=True):
-                mask = masks.get(number[c], 0)
-                begin[[p - d for d in range(reach + 1) if mask >> d & 1 and 0 <= p - d <= len(w) - passage]] = True
-            if begin.any():
-                doc = table["doc_id"][i].as_py()
-                rows += [(doc, a, b, len(w), " ".join(w[a:b])) for a, b in rolling.spans(rolling.covered(begin, passage, len(w)))]
-        return pa.table(list(map(list, zip(*rows, strict=True))), schema=out_type) if rows else out_type.empty_table()
+        begin: dict[int, list[np.ndarray]] = {}
+        for at, mask in zip(replies["at"].to_pylist(), replies["mask"].to_pylist(), strict=True):
+            back = np.flatnonzero(mask >> np.arange(reach + 1) & 1)
+            for i, p in np.frombuffer(at, "<i4").reshape(-1, 2).tolist():
+                begin.setdefault(i, []).append(p - back)
+        rows, own = [], in_order(table)
+        for i, parts in begin.items():
+            doc, text = own[i]
+            w = WORD.findall(text)
+            starts = np.concatenate(parts)
+            mask = np.zeros(len(w), bool)
+            mask[starts[(starts >= 0) & (starts <= len(w) - passage)]] = True
+            rows += [(doc, a, b, len(w), " ".join(w[a:b])) for a, b in rolling.spans(rolling.covered(mask, passage, len(w)))]
+        return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(out_type)], schema=out_type)
 
     first = exchange.seen_elsewhere(chunks, first_keys, few)
-    entries = chunks.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(send, "chunk int, entry int, lead string, rest string, before string, again boolean")
+    entries = chunks.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(send, ENTRY)
     array = exchange.dealt(entries, "lead", groups).sortWithinPartitions("lead", "rest", "before").mapInArrow(compare(reach, together), FOUND)
-    told = array.where("mask is not null").select("chunk", "entry", "mask").unionByName(by_whole_passages(array.where("mask is null"), reach, groups))
-    none = "cast(null as binary) as marks", "cast(null as int) as bucket"
-    replies = first.selectExpr("chunk", "bucket", "marks", "-1 as entry", "0 as mask").unionByName(told.selectExpr("chunk", *none, "entry", "mask"))
+    # what is settled goes by chunk, open passages by their words
+    told = array.repartition(min(groups, exchange.MOST_TASKS), F.coalesce("passage", F.col("chunk").cast("string")))
+    told = told.sortWithinPartitions("passage", "mask").mapInArrow(settled, FOUND).select("chunk", "at", "mask")
     schema = "doc_id bigint, start int, end int, n_words int, passage string"
-    return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(finish, schema)
+    return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(finish, schema)
 
 
 def brute_force(rows: list[tuple[int, str | None]], passage: int = PASSAGE) -> list[tuple[int, int, int]]:
