@@ -61,3 +61,13 @@ def test_masks_of_neighbours():
 def test_nothing(spark):
     df = spark.createDataFrame([(1, None)], "doc_id bigint, text string")
     assert suffix_dedup.shared_passages(df).count() == 0 and suffix_dedup.shared_passages(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("among", [1, 2, 5, 16])
+def test_minimisers_are_the_last_least_grams(among):
+    rng = random.Random(among)
+    for n in (0, 1, among, 60, 300):
+        codes = suffix_dedup.np.array([rng.randrange(3) for _ in range(n)], suffix_dedup.np.uint64)
+        grams = suffix_dedup.rolling.windows(codes, 3).tolist()
+        expected = [max(range(i, i + among), key=lambda j: (-grams[j], j)) for i in range(len(grams) - among + 1)]
+        assert suffix_dedup.minimisers(codes, 3, among).tolist() == expected

@@ -18,15 +18,19 @@ from tidemark.llm.common import WORD, texts
 PASSAGE, MINIMISER, AMONG = 50, 3, 16
 
 
-def minimisers(codes: np.ndarray, k: int, among: int) -> tuple[np.ndarray, np.ndarray]:
+def minimisers(codes: np.ndarray, k: int, among: int) -> np.ndarray:
     """The selected position for each run of ``among`` neighbouring k-word grams: the least
-    gram's, the last one's if there are several. Also the distinct positions."""
+    gram's, the last one's if there are several. Positions never fall."""
     grams = rolling.windows(codes, k)
     if len(grams) < among:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(grams, among)
-    chosen = np.arange(len(view)) + among - 1 - np.argmin(view[:, ::-1], axis=1)
-    return chosen, np.unique(chosen)
+        return np.zeros(0, np.int64)
+    least, chosen, width = grams, np.arange(len(grams)), 1
+    while width < among:  # of twice as many neighbours, or of as many as there are to be
+        step = min(width, among - width)
+        later = least[step:] <= least[:-step]
+        least, chosen = np.where(later, least[step:], least[:-step]), np.where(later, chosen[step:], chosen[:-step])
+        width += step
+    return chosen
 
 
 def among_sorted(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -180,7 +184,8 @@ def shared_passages(
         for text in own:
             codes = rolling.word_codes(WORD.findall(text))
             starts = max(0, len(codes) - passage + 1)
-            at = np.unique(minimisers(codes, k, among)[0][:starts])
+            chosen = minimisers(codes, k, among)[:starts]
+            at = chosen[np.diff(chosen, prepend=-1) > 0]
             out.append((at, rolling.windows(codes, tail)[at] if len(at) else np.zeros(0, np.uint64)))
         return out, np.concatenate([h for _, h in out])
 
