@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
-from tidemark.llm import quality, secrets, sharding, simhash, tiff, vocabulary
+from tidemark.llm import packing, quality, secrets, sharding, simhash, tiff, vocabulary
 from tidemark.llm.queries import QUERIES
 
 
@@ -119,8 +119,8 @@ def test_shards_by_plain_sorting(spark, folder):
     rows = QUERIES["op9_sharding"](spark, folder[0]).collect()
     assert sorted(((r.doc_id, r.size, r.text_crc32) for r in rows), key=repr) == sorted(((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in folder[1]), key=repr)
     keys = spark.read.parquet(f"{folder[0]}/documents.parquet").selectExpr("doc_id", "coalesce(text, '') as text")
-    keys = {(r.doc_id, r.crc): (r.hi, r.lo) for r in keys.select("doc_id", sharding.F.crc32(sharding.F.col("text").cast("binary")).alias("crc"), sharding.key_of("text").alias("hi"), sharding.key_of("doc_id", "text").alias("lo")).collect()}
-    in_order = [r.shard for r in sorted(rows, key=lambda r: keys[r.doc_id, r.text_crc32])]
+    keys = {(r.doc_id, r.crc): (r.hi, r.lo >> 16) for r in keys.select("doc_id", sharding.F.crc32(sharding.F.col("text").cast("binary")).alias("crc"), sharding.key_of("text").alias("hi"), sharding.key_of("doc_id", "text").alias("lo")).collect()}
+    in_order = [r.shard for r in sorted(rows, key=lambda r: (*keys[r.doc_id, r.text_crc32], r.shard))]
     assert in_order == sorted(in_order)
     for s in set(in_order):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(in_order.count(s)))
@@ -168,3 +168,14 @@ def test_no_text_is_lost_under_a_shared_id(spark, tmp_path):
     left = corpus_pipeline.near_copies_stage(spark, docs, str(tmp_path)).collect()
     assert sorted(((r.doc_id, r.text) for r in left), key=repr) == sorted([(5, x), (5, y), (3, z), (None, x), (11, None)], key=repr)
     assert {r.fp for r in simhash.near_copies(docs).collect()} == {r.fp for r in simhash.with_fingerprint(docs).collect()}
+
+
+def test_rows_alike_in_everything_are_split(spark):
+    """A third of all rows with one id, or none, and one text: shards and bins stay even."""
+    rows = spark.range(3000).selectExpr("case when id % 3 = 0 then null when id % 3 = 1 then 7 else id end as doc_id", "case when id % 3 < 2 then 'one hot text' else repeat('x ', 1 + id % 40) || id end as text").repartition(4)
+    got = sharding.shard_documents(rows).collect()
+    sizes = [sum(r.size for r in got if r.shard == s) for s in range(16)]
+    assert len(got) == 3000 and max(sizes) - min(sizes) < 0.05 * sum(sizes) / 16 + 200
+    packed = packing.pack(spark.createDataFrame([(7, 0, 0, 5, 1, i) for i in range(900)], "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, salt bigint"), ranked=100)
+    bins = packed.collect()
+    assert "salt" not in packed.columns and len({(r.sequence_id, r.offset) for r in bins}) == 900 and len({r.sequence_id for r in bins}) == -(-900 // (1024 // 5))

@@ -125,7 +125,8 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, ranked: int = RANKED) -> Da
     The driver sees how many pieces there are of each length, at most ``capacity`` numbers,
     and makes the plan, whose size depends on ``capacity`` only; that is why it may be
     broadcast. Pieces of one length are numbered in bins of some ``ranked`` by a hash, so a
-    length that many share is not one task's work, and each looks up its place.
+    length that many share is not one task's work, and each looks up its place. Where ``parts``
+    has a column ``salt``, bins go by that, so that pieces that are alike in all else are split too.
     """
     spark = parts.sparkSession
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
@@ -133,10 +134,11 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, ranked: int = RANKED) -> Da
         best_fit(counts, capacity) or [(0,) * 6], "length bigint, first bigint, pieces bigint, per_bin bigint, first_bin bigint, base bigint"
     )
     slots = max(1, -(-max(counts.values(), default=1) // ranked))
-    slotted = parts.withColumn("slot", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(slots)))
+    salted = "salt" in parts.columns
+    slotted = parts.withColumn("slot", F.pmod(F.xxhash64("salt") if salted else F.xxhash64("doc_id", "piece"), F.lit(slots)))
     before = Window.partitionBy("length").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     ahead = slotted.groupBy("length", "slot").agg(F.count("*").alias("n")).select("length", "slot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
-    inside = Window.partitionBy("length", "slot").orderBy("doc_id", "piece", "start", "ids_crc32")
+    inside = Window.partitionBy("length", "slot").orderBy(*["salt"] * salted, "doc_id", "piece", "start", "ids_crc32")
     numbered = (
         slotted.withColumn("rank", F.row_number().over(inside) - 1)
         .join(ahead, ["length", "slot"])
@@ -146,7 +148,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, ranked: int = RANKED) -> Da
     here = (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("pieces"))
     step = F.col("rank") - F.col("first")
     return numbered.join(F.broadcast(plan.withColumnRenamed("length", "of")), (F.col("length") == F.col("of")) & here).select(
-        *parts.columns,
+        *[c for c in parts.columns if c != "salt"],
         (F.col("first_bin") + F.expr("(rank - first) div per_bin")).alias("sequence_id"),
         (F.col("base") + F.pmod(step, F.col("per_bin")) * F.col("length")).alias("offset"),
     )
@@ -161,4 +163,6 @@ def pack_documents(df: DataFrame, capacity: int = CAPACITY, **how) -> DataFrame:
     come. An empty table gives no rows. Other columns of ``df`` are not read. Pieces are a
     table in the shared folder, so texts are tokenized once.
     """
-    return pack(keep(pieces(df, capacity=capacity, **how), "pieces"), capacity)
+    # a number for each row, fixed once it is written
+    salted = pieces(df, capacity=capacity, **how).withColumn("salt", F.monotonically_increasing_id())
+    return pack(keep(salted, "pieces"), capacity)

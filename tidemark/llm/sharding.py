@@ -23,6 +23,12 @@ def key_of(*columns: str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 1)
 
 
+def salted(key: Column) -> Column:
+    """``key`` with its last 16 bits from a number of the row, which is fixed once the table is written."""
+    row = F.xxhash64(F.monotonically_increasing_id())
+    return key.bitwiseAND(F.lit(~0xFFFF)).bitwiseOR(row.bitwiseAND(F.lit(0xFFFF)))
+
+
 @dataclass(frozen=True)
 class Search:
     """Where a splitter is still looked for: among keys from ``low`` to before ``high``, of
@@ -126,12 +132,13 @@ def shard_documents(df: DataFrame, shards: int = SHARDS, tolerance: float = TOLE
     which every round counts.
 
     Nulls: a null text has no bytes and so size 1; a null id is one more id. A text larger
-    than a shard's share fills its shard. Rows with equal id and text stay together. An empty
+    than a shard's share fills its shard. Rows with equal id and text are told apart by a
+    number that is fixed in the written table, so a boundary may fall among them too. An empty
     table gives no rows. Other columns of ``df`` are not read.
     """
     doc, text = F.col(id_col).cast("bigint"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     slim = df.select(doc.alias("doc_id"), text.alias("text")).select(
         "doc_id", (F.octet_length("text") + 1).cast("bigint").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
-        key_of("text").alias("hi"), key_of("doc_id", "text").alias("lo"),
+        key_of("text").alias("hi"), salted(key_of("doc_id", "text")).alias("lo"),
     )
     return shard(keep(slim, "shard-keys"), shards, tolerance).select("doc_id", "size", "text_crc32", "shard", "slot")
