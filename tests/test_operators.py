@@ -1,7 +1,6 @@
 """Operators on small hand-made rows: boundaries, ties, repeats, nulls and hot keys."""
 
 import random
-import statistics
 from collections import Counter
 from datetime import datetime, timedelta
 
@@ -9,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import aggregate_in_batches, exact_sum, first_digit, ntile_of, percent_rank_of, slope_per_group, units
+from tidemark.functions import aggregate_in_batches, exact_sum, ntile_of, percent_rank_of, units
 from tidemark.operators import (
     bag_difference,
     band_join,
@@ -24,6 +23,7 @@ from tidemark.operators import (
     with_match,
     without_match,
 )
+from tidemark.plans import relational
 from tidemark.session import shared_dir
 from tidemark.sources import read_partitions, write_partitioned
 
@@ -199,13 +199,6 @@ def test_written_partitions_are_skipped_and_hot_ones_split(spark):
     assert per_value[100] > 1
 
 
-def test_first_digit(spark):
-    values = [1.0, 9.99, 10.0, 99.0, 100.0, 1000.0, 999999.5, 123456.0, 8.0e9]
-    df = spark.createDataFrame([(v,) for v in values], "v double")
-    got = [r[0] for r in df.coalesce(1).select(first_digit(F.col("v"))).collect()]
-    assert got == [int(str(int(v))[0]) for v in values]
-
-
 def test_aggregate_in_batches_merges_parts(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
@@ -221,11 +214,17 @@ def test_aggregate_in_batches_merges_parts(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_slope(spark):
-    df = spark.createDataFrame([("a", 1, 2), ("a", 2, 4), ("a", 4, 9), ("b", 1, 1)], "k string, x int, y int")
-    got = dict(tuple(r) for r in slope_per_group(df, "k", "x", "y").collect())
-    assert got["a"] == pytest.approx(statistics.linear_regression([1, 2, 4], [2, 4, 9]).slope)
-    assert got["b"] is None
+def test_estimates_are_near_the_exact_values(spark, data_dir):
+    exact, near = ({r.o_orderpriority: r.customers for r in relational.QUERIES[n](spark, data_dir).collect()} for n in ("customers_by_priority", "approx_customers_by_priority"))
+    assert exact.keys() == near.keys() and all(abs(near[k] - exact[k]) <= 0.05 * exact[k] for k in exact)
+    prices = {}
+    for r in spark.read.parquet(f"{data_dir}/orders.parquet").select("o_orderpriority", "o_totalprice").collect():
+        prices.setdefault(r.o_orderpriority, []).append(r.o_totalprice)
+    for r in relational.QUERIES["approx_price_quantiles_by_priority"](spark, data_dir).collect():
+        mine = prices[r.o_orderpriority]
+        for name, p in relational.QUANTILES.items():
+            below, upto = (sum(x < r[name] for x in mine) / len(mine), sum(x <= r[name] for x in mine) / len(mine))
+            assert below - 0.02 <= p <= upto + 0.02
 
 
 def test_large_keys_beside_a_null_stay_apart(spark):

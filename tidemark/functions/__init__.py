@@ -1,19 +1,17 @@
 from tidemark.functions.exact import as_double, exact, exact_sum, merged_sums, named, part_sums, sum_of, units
 from tidemark.functions.ranking import ntile_of, percent_rank_of
-from tidemark.functions.user import aggregate_in_batches, first_digit, slope_per_group
+from tidemark.functions.user import aggregate_in_batches
 
 __all__ = [
     "aggregate_in_batches",
     "as_double",
     "exact",
     "exact_sum",
-    "first_digit",
     "merged_sums",
     "named",
     "ntile_of",
     "part_sums",
     "percent_rank_of",
-    "slope_per_group",
     "sum_of",
     "units",
 ]

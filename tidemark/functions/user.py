@@ -1,36 +1,18 @@
-"""Python functions inside Spark jobs: per column, per batch and per group.
-
-All get Arrow batches. None needs a group to fit in memory unless the group's
-size is bounded by something other than the data.
-"""
+"""Python functions inside Spark jobs. They get Arrow batches; no group needs to fit in memory."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
-def first_digit(value: Column) -> Column:
-    """The first digit of a positive number's whole part, for checks of digit frequency."""
-
-    @F.pandas_udf("bigint")
-    def per_batch(v: pd.Series) -> pd.Series:
-        # the whole part first: its logarithm is exact enough to tell powers of ten apart
-        whole = np.floor(v.abs())
-        power = np.floor(np.log10(whole.where(whole >= 1)) + 1e-12)
-        return np.floor(whole / 10.0**power).astype("Int64")
-
-    return per_batch(value)
-
-
 def aggregate_in_batches(
     df: DataFrame,
     keys: list[str],
@@ -59,25 +41,3 @@ def aggregate_in_batches(
 
     parts = df.mapInArrow(per_batch, schema)
     return parts.groupBy(*keys).agg(*[MERGE[how](n).alias(n) for n, how in merge.items()])
-
-
-def slope_per_group(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
-    """Least-squares slope of ``y`` on ``x`` per group, null for a single ``x``.
-
-    ``df`` is to have a bounded number of rows per group, such as one a day.
-    """
-    out = T.StructType([df.schema[key], T.StructField("slope", T.DoubleType())])
-
-    def wide(values: np.ndarray) -> np.ndarray:
-        return values.astype(np.int64 if values.dtype.kind in "iu" else float)
-
-    def fit(group: pa.Table) -> pa.Table:
-        xs, ys = (wide(group[c].to_numpy()) for c in (x, y))
-        n, xs = len(xs), xs - xs[0]
-        # whole numbers stay whole, and of any size, so their order makes no difference
-        x_sum, y_sum, xx, xy = (total.item() for total in (xs.sum(), ys.sum(), xs @ xs, xs @ ys))
-        spread = n * xx - x_sum * x_sum
-        slope = (n * xy - x_sum * y_sum) / spread if spread else None
-        return pa.table({key: group[key].slice(0, 1), "slope": pa.array([slope], pa.float64())})
-
-    return df.groupBy(key).applyInArrow(fit, out)

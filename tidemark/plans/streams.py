@@ -4,6 +4,8 @@ windows and sessions come out as well."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from tidemark.plans.events import (
     SQL_SESSIONS,
 )
 from tidemark.plans.registry import Query
-from tidemark.sources import closable_stream, delay_for_all, stream, table
+from tidemark.sources import closable_stream, delay_for_all, stream, survey, table
 from tidemark.streaming import (
     first_within,
     matched_within,
@@ -40,6 +42,13 @@ def _delay(spark: SparkSession, data_dir: str) -> str:
     return delay_for_all(spark, data_dir, "events")
 
 
+def _closed(spark: SparkSession, data_dir: str, name: str, columns: list[str], build: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """What ``build`` makes of the events and of the delay, run to its end."""
+    delay, one_batch = survey(spark, data_dir, "events")
+    events, close = closable_stream(spark, data_dir, "events", columns)
+    return run_to_table(spark, build(events, delay), name, close=close, one_batch=one_batch)
+
+
 def _plain(df: DataFrame, *times: str) -> DataFrame:
     """Times as the table holds them, without a zone, and money as doubles."""
     out = df.withColumns({t: F.col(t).cast("timestamp_ntz") for t in times})
@@ -47,31 +56,35 @@ def _plain(df: DataFrame, *times: str) -> DataFrame:
 
 
 def stream_hourly_counts(spark: SparkSession, data_dir: str) -> DataFrame:
-    events, close = closable_stream(spark, data_dir, "events", ["ts", "event_type", "value"])
-    sums = window_sums(events, ["event_type"], "ts", "1 hour", _sums(), delay=_delay(spark, data_dir))
-    return _plain(run_to_table(spark, sums, "hourly-counts", close=close), "window_start", "window_end")
+    def sums(events: DataFrame, delay: str) -> DataFrame:
+        return window_sums(events, ["event_type"], "ts", "1 hour", _sums(), delay=delay)
+
+    return _plain(_closed(spark, data_dir, "hourly-counts", ["ts", "event_type", "value"], sums), "window_start", "window_end")
 
 
 STREAM_HOURLY_COUNTS_SQL = f"select *, window_start + interval 1 hour as window_end from ({HOURLY_EVENT_COUNTS_SQL})"
 
 
 def stream_sliding_counts(spark: SparkSession, data_dir: str) -> DataFrame:
-    events, close = closable_stream(spark, data_dir, "events", ["ts", "value"])
-    sums = window_sums(events, [], "ts", "2 hours", _sums(), hop="1 hour", delay=_delay(spark, data_dir))
-    return _plain(run_to_table(spark, sums, "sliding-counts", close=close), "window_start", "window_end")
+    def sums(events: DataFrame, delay: str) -> DataFrame:
+        return window_sums(events, [], "ts", "2 hours", _sums(), hop="1 hour", delay=delay)
+
+    return _plain(_closed(spark, data_dir, "sliding-counts", ["ts", "value"], sums), "window_start", "window_end")
 
 
 def stream_sessions(spark: SparkSession, data_dir: str) -> DataFrame:
-    events, close = closable_stream(spark, data_dir, "events", ["user_id", "ts", "value"])
-    sums = session_sums(events, "user_id", "ts", "30 minutes", _sums(), delay=_delay(spark, data_dir))
-    return _plain(run_to_table(spark, sums, "sessions", close=close), "session_start", "session_end")
+    def sums(events: DataFrame, delay: str) -> DataFrame:
+        return session_sums(events, "user_id", "ts", "30 minutes", _sums(), delay=delay)
+
+    return _plain(_closed(spark, data_dir, "sessions", ["user_id", "ts", "value"], sums), "session_start", "session_end")
 
 
 def stream_first_events(spark: SparkSession, data_dir: str) -> DataFrame:
     """Events that follow no other of the same user and type within ten minutes."""
-    events, close = closable_stream(spark, data_dir, "events", ["event_id", "ts", "user_id", "event_type"])
-    out = first_within(events, ["user_id", "event_type"], "ts", "event_id", "10 minutes", _delay(spark, data_dir))
-    return _plain(run_to_table(spark, out, "first-events", close=close), "ts")
+    def firsts(events: DataFrame, delay: str) -> DataFrame:
+        return first_within(events, ["user_id", "event_type"], "ts", "event_id", "10 minutes", delay)
+
+    return _plain(_closed(spark, data_dir, "first-events", ["event_id", "ts", "user_id", "event_type"], firsts), "ts")
 
 
 def stream_purchases_soon_after_view(spark: SparkSession, data_dir: str) -> DataFrame:

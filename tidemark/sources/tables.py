@@ -53,34 +53,38 @@ def stream(
     return rows
 
 
-def delay_for_all(
+def survey(
     spark: SparkSession, data_dir: str, name: str, event_time: str = "ts", least: datetime.timedelta = datetime.timedelta(minutes=10)
-) -> str:
+) -> tuple[str, bool]:
     """A delay for the watermark with which no row of the table is late, however its files are
-    ordered and fall into micro-batches: ``least``, or by how much a file goes back behind one
-    written before it or in the same millisecond.
+    ordered and fall into micro-batches; and whether all of them go into one.
 
-    Files in the order of time need no more than ``least``. Where each file spans the whole
+    The delay is ``least``, or by how much a file goes back behind one written before it or in the
+    same millisecond. Files in the order of time need no more than ``least``. Where each file spans the whole
     period, so does the delay, and state is kept until the end. One row a file is collected;
     the driver lists the files for the stream anyway.
     """
     time = F.unix_micros(F.col(event_time).cast("timestamp"))
     rows = table(spark, data_dir, name).select(
-        "_metadata.file_path", F.col("_metadata.file_modification_time").alias("written"), time.alias("time")
+        "_metadata.file_path", F.col("_metadata.file_modification_time").alias("written"), F.col("_metadata.file_size").alias("size"), time.alias("time")
     )
-    files = rows.groupBy("file_path", "written").agg(F.min("time").alias("first"), F.max("time").alias("last"))
+    files = rows.groupBy("file_path", "written", "size").agg(F.min("time").alias("first"), F.max("time").alias("last")).collect()
     back, latest = 0, None
-    found = sorted(files.where("first is not null").select("written", "first", "last").collect())
-    for _, group in itertools.groupby(found, key=lambda f: f["written"]):
+    found = sorted((f["written"], f["first"], f["last"]) for f in files if f["first"] is not None)
+    for _, group in itertools.groupby(found, key=lambda f: f[0]):
         together = list(group)
         if len(together) > 1:
-            latest = max(f["last"] for f in together) if latest is None else max(latest, *(f["last"] for f in together))
-        for f in together:
-            latest = f["first"] if latest is None else latest
-            back = max(back, latest - f["first"])
-        latest = max(latest, *(f["last"] for f in together))
+            latest = max(f[2] for f in together) if latest is None else max(latest, *(f[2] for f in together))
+        for _, first, _ in together:
+            latest = first if latest is None else latest
+            back = max(back, latest - first)
+        latest = max(latest, *(f[2] for f in together))
     # watermarks are in milliseconds
-    return f"{max(back // 1000 + 1, least // datetime.timedelta(milliseconds=1))} milliseconds"
+    return f"{max(back // 1000 + 1, least // datetime.timedelta(milliseconds=1))} milliseconds", sum(f["size"] for f in files) <= BATCH_BYTES
+
+
+def delay_for_all(spark: SparkSession, data_dir: str, name: str, event_time: str = "ts", **how) -> str:
+    return survey(spark, data_dir, name, event_time, **how)[0]
 
 
 #: Later than any event; windows around it never end.
