@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,22 +31,46 @@ def signature(shingle: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def signed(df: DataFrame, width: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, shingle_set, same, bands): the sorted set of shingles, a digest of it, and its bands."""
-    kind = pa.schema([("doc_id", pa.int64()), ("shingle_set", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
+def in_slices(work: Callable[[list[str]], dict], kind: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for ``mapInArrow`` on (doc_id, text): ``work`` gives the other columns for some texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                sets = [shingles(WORD.findall(t.lower()), width) for t in part["text"].to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], pa.array([s.view(np.int64) for s in sets], kind.field(1).type), pa.array([signature(s, bands, rows) for s in sets], kind.field(2).type)], schema=kind
-                )
+                yield pa.RecordBatch.from_pydict({"doc_id": part["doc_id"], **work(part["text"].to_pylist())}, schema=kind)
 
-    texts = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    out = texts.mapInArrow(run, "doc_id bigint, shingle_set array<bigint>, bands array<bigint>")
-    return out.select("*", F.sha2(F.array_join(F.col("shingle_set").cast("array<string>"), ","), 256).alias("same"))
+    return run
+
+
+def digest(shingle_set: np.ndarray) -> str:
+    return hashlib.blake2b(shingle_set.tobytes(), digest_size=16).hexdigest()
+
+
+def set_of(text: str, width: int) -> np.ndarray:
+    return shingles(WORD.findall(text.lower()), width)
+
+
+def signed(texts: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
+    """(doc_id, same, n, bands): a digest of the set of shingles, their number, and its bands."""
+    kind = pa.schema([("doc_id", pa.int64()), ("same", pa.string()), ("n", pa.int32()), ("bands", pa.list_(pa.int64()))])
+
+    def work(some: list[str]) -> dict:
+        sets = [set_of(t, width) for t in some]
+        return {"same": [digest(s) for s in sets], "n": list(map(len, sets)), "bands": [signature(s, bands, rows) for s in sets]}
+
+    return texts.mapInArrow(in_slices(work, kind), "doc_id bigint, same string, n int, bands array<bigint>")
+
+
+def with_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(doc_id, same, shingle_set)."""
+    kind = pa.schema([("doc_id", pa.int64()), ("same", pa.string()), ("shingle_set", pa.list_(pa.int64()))])
+
+    def work(some: list[str]) -> dict:
+        sets = [set_of(t, width) for t in some]
+        return {"same": [digest(s) for s in sets], "shingle_set": [s.view(np.int64) for s in sets]}
+
+    return texts.mapInArrow(in_slices(work, kind), "doc_id bigint, same string, shingle_set array<bigint>")
 
 
 def alike(a: str, b: str, similarity: float) -> Column:
@@ -71,19 +96,24 @@ def near_copies(
     ``width`` has one shingle; one without words, or null, has none and is only a copy of others
     like it. An empty table gives no rows. Other columns of ``df`` are not read.
     """
-    sets = written(signed(df, width, bands, rows, id_col, text_col))
-    firsts = sets.groupBy("same").agg(F.min("doc_id").alias("representative"))
-    members = sets.select("doc_id", "same").join(firsts, "same").select("doc_id", "representative")
-    distinct = written(
-        sets.where("doc_id is not null and size(shingle_set) > 0").groupBy("same").agg(F.min("doc_id").alias("id"), F.min_by("shingle_set", "doc_id").alias("shingle_set"), F.min_by("bands", "doc_id").alias("bands")).drop("same")
-    )
+    texts = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    marks = written(signed(texts, width, bands, rows))
+    firsts = marks.groupBy("same").agg(F.min("doc_id").alias("representative"))
+    members = marks.select("doc_id", "same").join(firsts, "same").select("doc_id", "representative")
+    once = marks.where("doc_id is not null and n > 0").groupBy("same").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.min_by("bands", "doc_id").alias("bands"))
+    distinct = written(once)
     # an id that several texts share stands for all of them
-    banded = distinct.select("id", F.size("shingle_set").alias("n"), F.explode("bands").alias("band")).distinct()
+    banded = distinct.select("id", "n", F.explode("bands").alias("band")).distinct()
     shared = written(banded.join(banded.groupBy("band").agg(F.count("*").alias("together"), F.min("id").alias("pivot")).where("together > 1"), "band").drop("together"))
 
+    # whole sets are only made of texts that share a band with others
+    some = texts.join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    told = with_sets(some, width).join(distinct.select(F.col("id").alias("doc_id"), "same"), ["doc_id", "same"])
+    whole = written(told.groupBy(F.col("doc_id").alias("id"), "same").agg(F.any_value("shingle_set").alias("shingle_set")))
+
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets are alike."""
-        own = [distinct.select(F.col("id").alias(c), F.col("shingle_set").alias(f"{c}_set")) for c in "ab"]
+        own = [whole.select(F.col("id").alias(c), F.col("shingle_set").alias(f"{c}_set")) for c in "ab"]
         return written(pairs.where("a <> b").distinct().join(own[0], "a").join(own[1], "b").where(alike("a_set", "b_set", similarity)).select("a", "b").distinct())
 
     to_pivot = linked(shared.select(F.col("id").alias("a"), F.col("pivot").alias("b")))
