@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import aggregate_in_batches, exact_sum, ntile_of, percent_rank_of, units
+from tidemark.functions import GreedyBatches, aggregate_in_batches, exact_sum, ntile_of, percent_rank_of, units
 from tidemark.operators import (
     bag_difference,
     band_join,
@@ -247,3 +247,22 @@ def test_open_bands(spark):
 def test_windows_that_are_no_multiple_of_their_hop_are_an_error(spark):
     with pytest.raises(ValueError, match="multiple"):
         hop_windows(spark.range(0), [], "id", 3, 2, {})
+
+
+def test_greedy_batches(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([1, 2, None]), i, rng.choice([1, 5, 9, 30, None])) for i in range(120)] + [(3, 500, 100)]
+    df = spark.createDataFrame(rows, "k bigint, at bigint, amount bigint").selectExpr("k", "at", "amount", "cast(at as string) as name").repartition(5)
+    expected = []
+    for k in (1, 2, 3, None):
+        batches: list[list] = []
+        for _, i, amount in sorted((r for r in rows if r[0] == k), key=lambda r: r[1]):
+            if batches and batches[-1][1] + (amount or 0) <= 20:
+                batches[-1][0] += 1
+                batches[-1][1] += amount or 0
+                batches[-1][3] = str(i)
+            else:
+                batches.append([1, amount or 0, str(i), str(i)])
+        expected += [(n, *b) for n, b in enumerate(batches)]
+    got = GreedyBatches(df.asTable().partitionBy("k").orderBy("at"), F.lit(20)).collect()
+    assert sorted(map(tuple, got)) == sorted(expected)

@@ -1,8 +1,9 @@
 from tidemark.functions.exact import as_double, exact, exact_sum, merged_sums, named, part_sums, sum_of, units
 from tidemark.functions.ranking import ntile_of, percent_rank_of
-from tidemark.functions.user import aggregate_in_batches
+from tidemark.functions.user import GreedyBatches, aggregate_in_batches
 
 __all__ = [
+    "GreedyBatches",
     "aggregate_in_batches",
     "as_double",
     "exact",

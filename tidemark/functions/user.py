@@ -41,3 +41,35 @@ def aggregate_in_batches(
 
     parts = df.mapInArrow(per_batch, schema)
     return parts.groupBy(*keys).agg(*[MERGE[how](n).alias(n) for n, how in merge.items()])
+
+
+@F.udtf(returnType="batch int, rows bigint, total bigint, first string, last string")
+class GreedyBatches:
+    """A table function on a table with columns ``name`` and ``amount``, partitioned and ordered: each
+    partition's rows, in order, in batches that are closed where the next row would bring the
+    sum of amounts over ``most``. One row a batch, with the names of its first and last row.
+
+    A batch begins where the one before it ends, so where it begins depends on all rows before; no window
+    or aggregate says that. Rows pass one by one and only a sum is held, in whatever number they
+    come; but a partition is one task's work from end to end, so partitions should be short.
+    """
+
+    def __init__(self) -> None:
+        self.batch = self.rows = self.total = 0
+        self.first = self.last = None
+
+    def done(self):
+        return self.batch, self.rows, self.total, self.first, self.last
+
+    def eval(self, row, most: int):
+        amount = row["amount"] or 0
+        if self.rows and self.total + amount > most:
+            yield self.done()
+            self.batch, self.rows, self.total = self.batch + 1, 0, 0
+        if not self.rows:
+            self.first = row["name"]
+        self.rows, self.total, self.last = self.rows + 1, self.total + amount, row["name"]
+
+    def terminate(self):
+        if self.rows:
+            yield self.done()

@@ -1,10 +1,11 @@
-"""Queries that would once have called Python functions, in the built-in ones that say the same."""
+"""Queries that would once have called Python functions, in the built-in ones that say the same, and one by a table function."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import GreedyBatches
 from tidemark.plans.registry import Query
 from tidemark.sources import table
 
@@ -72,7 +73,39 @@ group by position, word
 """
 
 
+BATCH_CENTS = 50_000_000
+
+
+def order_batches(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Each customer's orders of a year, by date, in batches of at most half a million."""
+    orders = table(spark, data_dir, "orders").select(
+        "o_custkey", F.year("o_orderdate").alias("order_year"), "o_orderdate", "o_orderkey",
+        F.col("o_orderkey").cast("string").alias("name"), F.round(F.col("o_totalprice") * 100).cast("bigint").alias("amount"),
+    )
+    parts = orders.asTable().partitionBy("o_custkey", "order_year").orderBy("o_orderdate", "o_orderkey")
+    found = GreedyBatches(parts, F.lit(BATCH_CENTS))
+    return found.select(F.col("first").cast("bigint").alias("first_order"), F.col("last").cast("bigint").alias("last_order"), "batch", F.col("rows").alias("orders"), (F.col("total") / 100).alias("total"))
+
+
+ORDER_BATCHES_SQL = f"""
+with recursive o as (
+  select o_custkey, year(o_orderdate) as y, o_orderkey, round(o_totalprice * 100)::bigint as cents,
+         row_number() over (partition by o_custkey, year(o_orderdate) order by o_orderdate, o_orderkey) as i
+  from orders
+), b as (
+  select o_custkey, y, i, o_orderkey, cents, cents as running, 0 as batch from o where i = 1
+  union all
+  select o.o_custkey, o.y, o.i, o.o_orderkey, o.cents, case when running + o.cents > {BATCH_CENTS} then o.cents else running + o.cents end,
+         batch + (running + o.cents > {BATCH_CENTS})::integer
+  from b join o on o.o_custkey = b.o_custkey and o.y = b.y and o.i = b.i + 1
+)
+select first(o_orderkey order by i) as first_order, last(o_orderkey order by i) as last_order, batch, count(*) as orders, sum(cents)::bigint / 100 as total
+from b group by o_custkey, y, batch
+"""
+
+
 QUERIES = {
+    "order_batches": Query(order_batches, ORDER_BATCHES_SQL),
     "price_first_digits": Query(price_first_digits, PRICE_FIRST_DIGITS_SQL),
     "geometric_mean_price": Query(geometric_mean_price, GEOMETRIC_MEAN_PRICE_SQL),
     "daily_trend_by_user": Query(daily_trend_by_user, DAILY_TREND_SQL),
