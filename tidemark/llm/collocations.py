@@ -313,8 +313,8 @@ def renumbered(state: DataFrame, answers: DataFrame, chunks: int, words: bool) -
 
 
 def joined(pairs: DataFrame, shorter: DataFrame) -> DataFrame:
-    """The phrases that ``pairs`` (id, x, y, a) of ``shorter`` phrases are, with the counts of their
-    first parts by falling length from the left in ``firsts``, and of their last parts in ``lasts``."""
+    """The phrases that ``pairs`` (id, x, y, a) of ``shorter`` phrases are: the words of x and the last
+    word of y. ``firsts`` has the counts of their first 1, 2, ... words, ``lasts`` those of their last 1, 2, ... ones."""
     x = shorter.select(F.col("id").alias("x"), "lang", "phrase", F.array_append("firsts", F.col("a")).alias("firsts"))
     y = shorter.select(F.col("id").alias("y"), F.element_at(F.split("phrase", " "), -1).alias("last"), F.array_append("lasts", F.col("a")).alias("lasts"))
     both = pairs.select("id", "x", "y", "a").join(x, "x").join(y, "y")
