@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.grouping import top_per_group
+from tidemark.operators.ordered import written
 
 #: Values of one group that a task counts at a time.
 COUNTERS = 20_000
@@ -63,7 +64,7 @@ def most_widespread(df: DataFrame, group: str, values: str, k: int, counters: in
     Null groups are a group, null values and rows count for nothing. An empty table gives no rows.
     """
     while True:
-        found = summaries(df, group, values, counters)
+        found = written(summaries(df, group, values, counters))
         lost = found.where("value is null").select("group", F.col("n").alias("lost"))
         ranked = top_per_group(found.where("value is not null"), ["group"], [F.desc("n")], k)
         bar = ranked.groupBy("group").agg(F.min("n").alias("least"), F.count("*").alias("held"))
