@@ -4,8 +4,10 @@ import random
 from collections import Counter
 from datetime import datetime, timedelta
 
+import duckdb
 import numpy as np
 import pytest
+from oracle import normal
 from pyspark.sql import functions as F
 
 from tidemark.functions import GreedyBatches, aggregate_in_batches, exact_sum, ntile_of, percent_rank_of, units
@@ -227,6 +229,33 @@ def test_estimates_are_near_the_exact_values(spark, data_dir):
             assert below - 0.02 <= p <= upto + 0.02
 
 
+def test_price_estimates_are_checked_and_equal_their_sql(spark, tmp_path):
+    """Ranks at a group's ends, ties, nulls, and prices of few digits, none and below nothing."""
+    rng = random.Random(8)
+    prices = {f"p{n}": [round(10 ** rng.uniform(0, 7), 2) for _ in range(n)] for n in range(1, 42)}
+    prices |= {"ties": [99.95] * 30 + [99.96] * 30, "none": [None, None], "some": [None, 10004.99, None], None: [5.0, 9995.0, 0.0], "back": [-1234.56, -1.0, 0.01]}
+    rows = [(i, k, x) for i, (k, x) in enumerate((k, x) for k, mine in prices.items() for x in mine)]
+    spark.createDataFrame(rows, "o_orderkey bigint, o_orderpriority string, o_totalprice double").repartition(3).write.parquet(f"{tmp_path}/orders.parquet")
+    query = relational.QUERIES["approx_price_quantiles_by_priority"]
+    got = query(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view orders as select * from read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    asked = con.execute(query.sql)
+    names = [d[0] for d in asked.description]
+    expected = asked.fetchall()
+    assert normal(got.columns, [tuple(r) for r in got.collect()]) == normal(names, expected)
+    found = {r.o_orderpriority: r for r in got.collect()}
+    assert {k: r.orders for k, r in found.items()} == {k: len(mine) for k, mine in prices.items()}
+    for k, mine in prices.items():
+        mine = sorted(x for x in mine if x is not None)
+        for name, percent in (("median", 50), ("p90", 90)):
+            if mine:
+                exact = mine[-(-len(mine) * percent // 100) - 1]
+                assert found[k][f"{name}_within_error"] and abs(found[k][name] - exact) <= 0.00501 * abs(exact)
+            else:
+                assert found[k][name] is None and found[k][f"{name}_within_error"] is None
+
+
 def test_large_keys_beside_a_null_stay_apart(spark):
     df = spark.createDataFrame([(2**53, 1.0), (2**53 + 1, 2.0), (None, 4.0), (2**53 + 1, 8.0)], "k bigint, v double")
     got = aggregate_in_batches(df, ["k"], lambda part: {"total": part["v"].sum()}, {"total": "sum"})
