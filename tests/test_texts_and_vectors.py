@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -137,6 +138,89 @@ def test_members_outside_the_least_ids_component_still_meet(spark):
         module.signature = every
 
 
+def test_signatures_are_cheap_and_meet_as_often_as_they_should():
+    """Bands agree as by independent hashes, also for few shingles, and cost far less than a whole mix of bits a hash."""
+    from tidemark.functions.shingles import mixed
+    from tidemark.operators.near_copies import BANDS, ROWS, signature
+
+    rng = np.random.default_rng(3)
+    for both, single in ((4, 1), (80, 20), (100, 100)):
+        agree = []
+        for _ in range(300):
+            x = mixed(rng.integers(0, 2**63, both + single).astype(np.uint64))
+            a, b = x[: both + single // 2], np.concatenate([x[:both], x[both + single // 2 :]])
+            agree.append(int((signature(np.sort(a), BANDS, ROWS) == signature(np.sort(b), BANDS, ROWS)).sum()))
+        p = (both / (both + single)) ** ROWS
+        assert abs(np.mean(agree) - BANDS * p) < 5 * np.sqrt(BANDS * p * (1 - p) / len(agree))
+        assert 0.7 < np.var(agree) / (BANDS * p * (1 - p)) < 1.4
+    shingle = np.sort(mixed(rng.integers(0, 2**63, 20_000).astype(np.uint64)))
+
+    def seconds(work):
+        took = []
+        for _ in range(3):
+            start = time.thread_time()
+            work()
+            took.append(time.thread_time() - start)
+        return min(took)
+
+    assert seconds(lambda: signature(shingle, BANDS, ROWS)) < seconds(lambda: [mixed(shingle) for _ in range(BANDS * ROWS)]) / 2
+
+
+def test_words_of_near_copies_end_at_six_characters_only():
+    from tidemark.functions.shingles import WORD
+    from tidemark.operators.near_copies import set_of
+
+    text = "A b\tc\nd\x0be\x0cf\rg \x1ch\x1d i\x85j\xa0k \u2003l \u3000 \u00dcber \U0001f600 m\x00n  \x1f o"
+    for width in (1, 2, 5, 50):
+        assert set_of(text, width).tolist() == shingles(WORD.findall(text.lower()), width).tolist()
+
+
+def test_members_of_a_large_group_that_are_not_alike_make_no_pairs(spark):
+    """Bitmaps drop nearly all pairs of a family at a similarity around 0.6, and none at 0.8 or more, however full they are."""
+    from tidemark.functions.shingles import mixed
+    from tidemark.operators.near_copies import bitmap, crossing
+
+    rng = np.random.default_rng(5)
+
+    def fresh(n):
+        return mixed(rng.integers(0, 2**63, n).astype(np.uint64))
+
+    sets = []
+    for size, members in ((5, 30), (400, 60), (900, 30), (9000, 12)):
+        base = fresh(size)
+        for k in range(members):
+            drop = (0.25 if k % 3 else 0.05) if size > 5 else 0.2
+            sets.append(np.unique(np.concatenate([base[rng.random(size) >= drop], fresh(int(size * drop))])))
+    sets = [s for s in sets if len(s)]
+    whole = spark.createDataFrame([(i, s.view(np.int64).tolist(), bitmap(s).tolist()) for i, s in enumerate(sets)], "id bigint, shingle_set array<bigint>, bits array<bigint>")
+    placed = spark.createDataFrame([(i, 7, i, 0) for i in range(len(sets))], "id bigint, band bigint, root bigint, pivot_root bigint")
+    got = {(min(r), max(r)) for r in crossing(placed, whole, 0.8).collect()}
+    met = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if min(len(sets[i]), len(sets[j])) >= 0.8 * max(len(sets[i]), len(sets[j]))]
+    shared = {p: len(np.intersect1d(sets[p[0]], sets[p[1]], assume_unique=True)) for p in met}
+    alike = {p for p in met if shared[p] >= 0.8 * (len(sets[p[0]]) + len(sets[p[1]]) - shared[p]) - 1e-9}
+    assert len(alike) > 100 and alike <= got
+    short = [p for p in met if 100 < len(sets[p[0]]) < 2000]
+    assert len(short) > 2000 and sum(p in got for p in short) < len(short) / 4
+
+
+def test_bands_are_shuffled_twice_only(spark):
+    """Once to find those that several texts share, once for the join; bands are no longer made distinct before."""
+    import tidemark.operators.near_copies as module
+
+    plans, keep = [], module.written
+    module.written = lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df)
+    try:
+        near = " ".join(f"w{i}" for i in range(40))
+        rows = [(1, near), (1, near + " x"), (2, near + " y"), (3, "other words here that nobody has"), (3, near + " z")]
+        df = spark.createDataFrame(rows, "doc_id bigint, text string")
+        got = sorted(tuple(r) for r in module.near_copies(df).collect())
+    finally:
+        module.written = keep
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 2, 1), (3, 3, 1), (3, 3, 1)]
+    (bands,) = [p for p in plans if "pivot" in p and "explode" in p]
+    assert bands.count("Aggregate") == 1
+
+
 @pytest.mark.parametrize("most", [1 << 20, 5])
 def test_shared_shingles(spark, most):
     """With a filter, and without one where the small side has too many windows for it."""
